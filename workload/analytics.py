@@ -8,7 +8,7 @@ from threadlens.functions import clock
 from threadlens.operators import analytics as A
 from threadlens.operators import filters, graph, sequences as S
 
-from .tables import EVENT_BODY, EVENTS, event_messages, people_of, with_sql
+from .tables import EVENT_BODY, EVENTS, event_messages, people_of, table, with_sql
 
 QUERIES = {}
 SQL = {}
@@ -263,15 +263,13 @@ def author_blocks(spark, sf_dir):
     return S.author_blocks(event_messages(spark, sf_dir)).select("channel_id", "msg_idx", "grouped", "block_no")
 
 
-# Days on which a value above 39 was reported: few enough to leave gaps.
-SPARSE = """sparse AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE value > 56 GROUP BY 1)"""
+# Days with a large order: few enough to leave gaps between active days.
+SPARSE = """sparse AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders WHERE o_totalprice > 450000 GROUP BY 1)"""
 
 
 def sparse_days(spark, sf_dir):
-    from .tables import table
-
-    rows = table(spark, sf_dir, "events").where("value > 56")
-    return rows.groupBy(clock.day_key(F.col("ts")).alias("day")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "orders").where("o_totalprice > 450000")
+    return rows.groupBy(clock.day_key(F.col("o_orderdate")).alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("longest_streak", """
@@ -384,8 +382,6 @@ def calendar_shades(spark, sf_dir):
 SELECT m AS month, lag(m) OVER (ORDER BY m) AS previous, lead(m) OVER (ORDER BY m) AS next FROM (SELECT DISTINCT strftime(o_orderdate, '%Y-%m') AS m FROM orders)""",
        ("one AS (SELECT 1)",))
 def adjacent_months(spark, sf_dir):
-    from .tables import table
-
     days = table(spark, sf_dir, "orders").select(clock.day_key(F.col("o_orderdate")).alias("day")).distinct()
     return S.adjacent_months(days)
 

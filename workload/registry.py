@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics
+from . import analytics, merging, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (analytics,):
+for module in (analytics, texts, merging):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)

@@ -140,7 +140,7 @@ def chat_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("conv_id") * 3 + shift) % 23).alias("who"),
         t_ms.alias("t_ms"),
         ((t_ms - F.lit(EPOCH_MS)) * 4194304).cast("string").alias("mid"),
-        (F.col("conv_id") * 100 + F.col("turn")).alias("at"),
+        (F.col("conv_id") * 100 + F.col("turn")).alias("place"),
     )
 
 
@@ -149,7 +149,7 @@ CHAT = f"""turns AS (
     (conv_id * 3 + CASE role WHEN 'assistant' THEN 5 WHEN 'system' THEN 11 ELSE 0 END) % 23 AS who,
     {DAY0_MS} + conv_id * 3600000 + turn * 90000 AS t_ms,
     CAST(({DAY0_MS} + conv_id * 3600000 + turn * 90000 - {EPOCH_MS}) * 4194304 AS VARCHAR) AS mid,
-    conv_id * 100 + turn AS at
+    conv_id * 100 + turn AS place
   FROM conversations)"""
 
 
@@ -166,7 +166,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select(
         "channel_id",
         F.lit(0).alias("file_idx"),
-        F.col("at").alias("msg_idx"),
+        F.col("place").alias("msg_idx"),
         F.col("mid").alias("message_id"),
         text("U", w).alias("author_id"),
         text("nick ", w).alias("author_name"),
@@ -178,7 +178,7 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CHAT_MSGS = """cmsgs AS (
-  SELECT channel_id, 0 AS file_idx, at AS msg_idx, mid AS message_id, 'U' || CAST(who AS VARCHAR) AS author_id,
+  SELECT channel_id, 0 AS file_idx, place AS msg_idx, mid AS message_id, 'U' || CAST(who AS VARCHAR) AS author_id,
     'nick ' || CAST(who AS VARCHAR) AS author_name, t_ms,
     list_concat(list_concat(
       CASE WHEN turn % 3 = 2 THEN ['> U' || CAST((who + 4) % 23 AS VARCHAR) || ': earlier'] ELSE CAST([] AS VARCHAR[]) END, [text]),
@@ -211,7 +211,7 @@ def merge_input(spark: SparkSession, sf_dir: str) -> DataFrame:
             common["channel"],
             (F.col("chan_no") * 3 + slot).alias("file_idx"),
             F.lit(slot).alias("grp_file_idx"),
-            (F.col("at") if at is None else at).alias("msg_idx"),
+            (F.col("place") if at is None else at).alias("msg_idx"),
             F.lit(fmt).alias("format"),
             mid.alias("message_id"),
             author.alias("author_id"),
@@ -232,11 +232,11 @@ def merge_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     late = F.floor((F.col("t_ms") + 7200000) / 60000) * 60000
     json = rows(t, 1, "json", F.col("mid"), keyed, F.col("t_ms"), body(text("**", F.col("text"), "** :wave:")))
     html = rows(t.where("turn >= 1"), 0, "html", F.col("mid"), keyed, F.col("t_ms"), body(F.col("text")))
-    txt = rows(t.where("turn < 4"), 2, "txt", null, loose, late, F.array(F.col("text")), F.col("at") * 2)
-    again = rows(t.where("turn = 1"), 2, "txt", null, loose, late, F.array(F.col("text")), F.col("at") * 2 + 1)
+    txt = rows(t.where("turn < 4"), 2, "txt", null, loose, late, F.array(F.col("text")), F.col("place") * 2)
+    again = rows(t.where("turn = 1"), 2, "txt", null, loose, late, F.array(F.col("text")), F.col("place") * 2 + 1)
     only = rows(
         t.where("turn = 0"), 2, "txt", null, loose, late,
-        F.array(text("only in the text export ", F.col("conv_id").cast("string"))), F.col("at") * 2 + 1,
+        F.array(text("only in the text export ", F.col("conv_id").cast("string"))), F.col("place") * 2 + 1,
     )
     return json.unionByName(html).unionByName(txt).unionByName(again).unionByName(only)
 
@@ -251,22 +251,22 @@ _LOOSE = "CASE WHEN who % 5 = 0 THEN 'G' ELSE 'A' END || CAST(who AS VARCHAR)"
 _LATE = "((t_ms + 7200000) // 60000) * 60000"
 
 MERGE_IN = f"""merge_in AS (
-  SELECT channel_id, chan_no * 3 + 1 AS file_idx, 1 AS grp_file_idx, at AS msg_idx, 'json' AS format, mid AS message_id,
+  SELECT channel_id, chan_no * 3 + 1 AS file_idx, 1 AS grp_file_idx, place AS msg_idx, 'json' AS format, mid AS message_id,
     'A' || CAST(who AS VARCHAR) AS author_id, t_ms, list_concat({_REPLY}, ['**' || text || '** :wave:']) AS parts, text AS raw, {_REF} AS ref FROM turns
   UNION ALL
-  SELECT channel_id, chan_no * 3, 0, at, 'html', mid, 'A' || CAST(who AS VARCHAR), t_ms, list_concat({_REPLY}, [text]), text, {_REF} FROM turns WHERE turn >= 1
+  SELECT channel_id, chan_no * 3, 0, place, 'html', mid, 'A' || CAST(who AS VARCHAR), t_ms, list_concat({_REPLY}, [text]), text, {_REF} FROM turns WHERE turn >= 1
   UNION ALL
-  SELECT channel_id, chan_no * 3 + 2, 2, at * 2, 'txt', NULL, {_LOOSE}, {_LATE}, [text], text, NULL FROM turns WHERE turn < 4
+  SELECT channel_id, chan_no * 3 + 2, 2, place * 2, 'txt', NULL, {_LOOSE}, {_LATE}, [text], text, NULL FROM turns WHERE turn < 4
   UNION ALL
-  SELECT channel_id, chan_no * 3 + 2, 2, at * 2 + 1, 'txt', NULL, {_LOOSE}, {_LATE}, [text], text, NULL FROM turns WHERE turn = 1
+  SELECT channel_id, chan_no * 3 + 2, 2, place * 2 + 1, 'txt', NULL, {_LOOSE}, {_LATE}, [text], text, NULL FROM turns WHERE turn = 1
   UNION ALL
-  SELECT channel_id, chan_no * 3 + 2, 2, at * 2 + 1, 'txt', NULL, {_LOOSE}, {_LATE},
+  SELECT channel_id, chan_no * 3 + 2, 2, place * 2 + 1, 'txt', NULL, {_LOOSE}, {_LATE},
     ['only in the text export ' || CAST(conv_id AS VARCHAR)], 'only in the text export ' || CAST(conv_id AS VARCHAR), NULL FROM turns WHERE turn = 0)"""
 
 # Normalised text and position, as the merge steps use them.
 NORM_SQL = r"lower(trim(regexp_replace(regexp_replace(regexp_replace(array_to_string(list_transform(list_filter(list_transform(parts, lambda p: regexp_replace(p, '\[([^\]]*)\]\(\S*?\)', '\1', 'g')), lambda p: NOT starts_with(p, '[') AND NOT starts_with(p, '> ')), lambda p: regexp_replace(p, '\^\{[^}]*\}', '', 'g')), ' '), ':[A-Za-z0-9_+-]+:', '', 'g'), '[*_~`|\\]', '', 'g'), '\s+', ' ', 'g')))"
 
 MERGE_NORM = f"""mn AS (
-  SELECT *, {NORM_SQL} AS norm, grp_file_idx * 1000000000 + msg_idx AS pos FROM merge_in)"""
+  SELECT *, {NORM_SQL} AS norm, CAST(grp_file_idx AS BIGINT) * 1000000000 + msg_idx AS pos FROM merge_in)"""
 
 MERGES = (CHAT, MERGE_IN, MERGE_NORM)
