@@ -84,83 +84,47 @@ def register(obs: DataFrame, mentions: DataFrame) -> tuple[DataFrame, DataFrame]
     """All identities in registration order and the names they claimed.
 
     Returns ``minted(kind, key, pass, at)`` and ``claims(name, owner_kind,
-    owner_key, pass, at)`` with one row per name: the first claim wins, over
-    passes and then over document order.
+    owner_key, pass, at, sub)`` with one row per name.  A name belongs to the
+    first offer over passes and then over document order, so two aggregations
+    settle everything: one over keys, one over names.
     """
-    keyed = obs.where(F.col("key").isNotNull())
-    # pass 1: only the first name seen with a key is offered to the name map
-    ids = keyed.groupBy("key").agg(
-        F.min("at").alias("at"), F.min_by("name", "at").alias("name")
+    offers = obs.where(F.col("key").isNotNull()).select("key", "name", F.lit(1).alias("pass"), "at")
+    offers = offers.unionByName(
+        mentions.where(F.col("key").isNotNull()).select("key", "name", F.lit(4).alias("pass"), "at")
     )
-    claim1 = (
-        ids.where("name <> ''")
-        .groupBy("name")
-        .agg(F.min_by("key", "at").alias("owner_key"), F.min("at").alias("at"))
-        .select("name", F.lit("id").alias("owner_kind"), "owner_key",
-                F.lit(1).alias("pass"), "at", F.lit(0).alias("sub"))
-    )
-    # pass 2: username and its part before '#'
+    # a known key offers no further names: only its first one counts
+    keys = offers.groupBy("key").agg(F.min(F.struct("pass", "at", "name")).alias("f"))
+    keys = keys.select("key", "f.*")
+
+    def offer(df: DataFrame, kind: str, owner: str, no, sub=None) -> DataFrame:
+        return df.select(
+            "name",
+            F.struct(
+                (F.lit(no) if isinstance(no, int) else no).alias("pass"),
+                F.col("at"),
+                (F.lit(0) if sub is None else sub).alias("sub"),
+                F.lit(kind).alias("owner_kind"),
+                F.col(owner).alias("owner_key"),
+            ).alias("o"),
+        ).where("name <> ''")
+
     handles = F.array(F.col("username"), js_trim(F.substring_index("username", "#", 1)))
-    alias = (
-        keyed.where("username <> ''")
-        .select("key", "at", F.posexplode(handles).alias("sub", "name"))
-        .where("name <> ''")
-        .join(claim1.select("name"), "name", "left_anti")
-        .groupBy("name")
-        .agg(
-            F.min_by("key", F.struct("at", "sub")).alias("owner_key"),
-            F.min(F.struct("at", "sub")).alias("s"),
-        )
-        .select("name", F.lit("id").alias("owner_kind"), "owner_key",
-                F.lit(2).alias("pass"), F.col("s.at").alias("at"), F.col("s.sub").alias("sub"))
-    )
-    taken = claim1.unionByName(alias)
-    # pass 3: authors without an id
-    loose = (
-        obs.where(F.col("key").isNull() & (F.col("name") != ""))
-        .join(taken.select("name"), "name", "left_anti")
-        .groupBy("name")
-        .agg(F.min("at").alias("at"))
+    aliases = obs.where(F.col("key").isNotNull() & (F.col("username") != "")).select(
+        "key", "at", F.posexplode(handles).alias("sub", "name")
     )
-    claim3 = loose.select("name", F.lit("name").alias("owner_kind"), F.col("name").alias("owner_key"),
-                          F.lit(3).alias("pass"), "at", F.lit(0).alias("sub"))
-    taken = taken.unionByName(claim3)
-    # pass 4: people only seen in replies, by key or by name
-    by_key = (
-        mentions.where(F.col("key").isNotNull())
-        .join(ids.select("key"), "key", "left_anti")
-        .groupBy("key")
-        .agg(F.min("at").alias("at"), F.min_by("name", "at").alias("name"))
+    loose = obs.where(F.col("key").isNull())
+    replies = mentions.where(F.col("key").isNull())
+    named = (
+        offer(keys, "id", "key", F.col("pass"))
+        .unionByName(offer(aliases, "id", "key", 2, F.col("sub")))
+        .unionByName(offer(loose, "name", "name", 3))
+        .unionByName(offer(replies, "name", "name", 4))
     )
-    by_name = (
-        mentions.where(F.col("key").isNull() & (F.col("name") != ""))
-        .join(taken.select("name"), "name", "left_anti")
-        .groupBy("name")
-        .agg(F.min("at").alias("at"))
-    )
-    # a reply key may claim its name before a later reply uses the bare name
-    offers = (
-        by_key.where("name <> ''")
-        .join(taken.select("name"), "name", "left_anti")
-        .select("name", F.lit("id").alias("owner_kind"), F.col("key").alias("owner_key"), "at")
-        .unionByName(by_name.select("name", F.lit("name").alias("owner_kind"),
-                                    F.col("name").alias("owner_key"), "at"))
-    )
-    claim4 = (
-        offers.groupBy("name")
-        .agg(F.min_by(F.struct("owner_kind", "owner_key"), F.struct("at", "owner_kind")).alias("o"),
-             F.min("at").alias("at"))
-        .select("name", "o.owner_kind", "o.owner_key", F.lit(4).alias("pass"), "at",
-                F.lit(0).alias("sub"))
-    )
-    claims = taken.unionByName(claim4)
-    named4 = claim4.where("owner_kind = 'name'").select(F.col("owner_key").alias("key"), "at")
-    minted = (
-        ids.select(F.lit("id").alias("kind"), "key", F.lit(1).alias("pass"), "at")
-        .unionByName(loose.select(F.lit("name").alias("kind"), F.col("name").alias("key"),
-                                  F.lit(3).alias("pass"), "at"))
-        .unionByName(by_key.select(F.lit("id").alias("kind"), "key", F.lit(4).alias("pass"), "at"))
-        .unionByName(named4.select(F.lit("name").alias("kind"), "key", F.lit(4).alias("pass"), "at"))
+    claims = named.groupBy("name").agg(F.min("o").alias("o")).select("name", "o.*")
+    minted = keys.select(F.lit("id").alias("kind"), "key", "pass", "at").unionByName(
+        claims.where("owner_kind = 'name'").select(
+            F.lit("name").alias("kind"), F.col("name").alias("key"), "pass", "at"
+        )
     )
     return minted, claims
 
@@ -401,7 +365,8 @@ def build_identity(
     """Identity model over all raw messages of all files."""
     obs = materialize(observations(raw), "observations")
     minted, claims = register(obs, reply_mentions(raw))
-    numbered = materialize(number_identities(minted, max_rows), "identities")
+    minted, claims = materialize(minted, "minted"), materialize(claims, "claims")
+    numbered = number_identities(minted, max_rows)
     aliases = materialize(alias_table(numbered, claims), "aliases")
     people = materialize(profile(obs, aliases, file_recency(raw, files)), "people")
     components = connected_components(remade_edges(people))

@@ -291,8 +291,9 @@ def file_recency(spark, sf_dir):
 
 def registered(spark, sf_dir):
     raw = raw_people(spark, sf_dir)
-    obs = identity.observations(raw)
+    obs = materialize(identity.observations(raw), "observations")
     minted, claims = identity.register(obs, identity.reply_mentions(raw))
+    minted = materialize(minted, "minted")
     return obs, identity.number_identities(minted), claims
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, merging, texts
+from . import analytics, exports, merging, texts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (analytics, texts, merging):
+for module in (analytics, texts, merging, exports):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
