@@ -106,6 +106,30 @@ def _sizes(measure: Measure) -> dict[str, Column]:
     return {"own_size": own, "glued_size": F.when(caret, glued).otherwise(F.lit(0).cast("bigint"))}
 
 
+def line_sizes(measure: Measure) -> Column:
+    """Rendered size of a laid-out row: divider, header and body."""
+    divider = F.when(
+        F.col("divider") != "none",
+        F.concat(F.lit("\n"), txt.divider_text(F.col("divider"), F.col("ts"), F.col("gap_ms"))),
+    ).otherwise(F.lit(""))
+    head = F.when(
+        F.col("has_head"), F.concat(F.lit("\n"), txt.head_text(F.col("time_text"), F.col("author_id")))
+    ).otherwise(F.lit(""))
+    body = F.when(F.col("glued"), F.col("glued_size")).otherwise(F.col("own_size"))
+    return measure.size(F.concat(divider, head)) + body
+
+
+def header_sizes(
+    kept: DataFrame, people: DataFrame, measure: Measure, options: D.RenderOptions
+) -> DataFrame:
+    line = F.when(F.col("sect") == D.HEAD, F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
+    size = F.when(
+        (F.col("sect") == D.LEGEND) & (F.col("text") == ""), F.lit(measure.gap_line).cast("bigint")
+    ).otherwise(measure.size(line))
+    rows = txt.header_rows(kept, people, options)
+    return rows.groupBy("channel_id").agg(F.sum(size).alias("header"))
+
+
 def measure_kept(
     rows: DataFrame,
     wanted: DataFrame,
@@ -114,36 +138,76 @@ def measure_kept(
     options: D.RenderOptions,
     max_rows: int = MAX_GROUP_ROWS,
     largest: int | None = None,
+    empty_size: int = 0,
 ) -> DataFrame:
-    """Rendered size per channel when the newest ``k`` normal messages are kept.
+    """Rendered size when the newest ``k`` normal messages of a channel are kept.
 
-    ``rows`` is the narrow table, ``wanted`` has ``channel_id, k``.
+    ``rows`` is the narrow table, ``wanted`` has ``channel_id, k`` and may ask
+    for several ``k`` of one channel; each is laid out as a channel of its own.
+    ``empty_size`` is the size of the text shown when nothing is kept.
     """
-    kept = rows.join(wanted, "channel_id").where(
+    asked = wanted.withColumn("case_id", F.concat_ws("\u0001", "channel_id", F.col("k").cast("string")))
+    kept = rows.join(asked, "channel_id").where(
         F.col("priority") | (F.col("from_newest") <= F.col("k"))
     )
+    kept = kept.drop("channel_id").withColumnRenamed("case_id", "channel_id")
     laid = txt_layout(kept, max_rows, largest)
-    brk = F.when(
-        F.col("divider") != "none",
-        measure.size(F.concat(F.lit("\n"), txt.divider_text(F.col("divider"), F.col("ts"), F.col("gap_ms")))),
-    ).otherwise(0)
-    head = F.when(
-        F.col("has_head"),
-        measure.size(F.concat(F.lit("\n"), txt.head_text(F.col("time_text"), F.col("author_id")))),
-    ).otherwise(0)
-    body = F.when(F.col("glued"), F.col("glued_size")).otherwise(F.col("own_size"))
-    bodies = laid.groupBy("channel_id").agg(F.sum(brk + head + body).alias("body"))
-    header = txt.header_rows(kept, people, options)
-    line = F.when(F.col("sect") == D.HEAD, F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
-    size = F.when(
-        (F.col("sect") == D.LEGEND) & (F.col("text") == ""), F.lit(measure.gap_line).cast("bigint")
-    ).otherwise(measure.size(line))
-    headers = header.groupBy("channel_id").agg(F.sum(size).alias("header"))
-    total = F.col("body") + F.col("header")
-    units = F.floor((total + 50) / 100).cast("bigint")
-    nothing = F.floor((measure.size(F.lit(EMPTY_TEXT)) + 50) / 100).cast("bigint")
-    out = wanted.join(bodies, "channel_id", "left").join(headers, "channel_id", "left")
-    return out.select("channel_id", F.coalesce(units, nothing).alias("size"))
+    bodies = laid.groupBy("channel_id").agg(F.sum(line_sizes(measure)).alias("body"))
+    sizes = bodies.join(header_sizes(kept, people, measure, options), "channel_id")
+    sizes = sizes.select(
+        F.col("channel_id").alias("case_id"),
+        F.floor((F.col("body") + F.col("header") + 50) / 100).cast("bigint").alias("size"),
+    )
+    return asked.join(sizes, "case_id", "left").select(
+        "channel_id", "k", F.coalesce("size", F.lit(empty_size)).alias("size")
+    )
+
+
+def _guess(
+    rows: DataFrame, people: DataFrame, measure: Measure, options: D.RenderOptions, max_rows: int, largest: int
+) -> DataFrame:
+    """First guess of ``k`` per channel, from one layout of everything.
+
+    Leaving out a message is taken to save its size in the full layout.  That
+    is off by little: the first kept message gains a divider, the legend
+    shrinks.  The exact sizes decide afterwards.
+    """
+    laid = txt_layout(rows, max_rows, largest)
+    sized = laid.select("channel_id", *ORDER, "priority", "from_newest", line_sizes(measure).alias("s"))
+    fixed = sized.groupBy("channel_id").agg(
+        F.coalesce(F.sum(F.when(F.col("priority"), F.col("s"))), F.lit(0)).alias("fixed"),
+        F.coalesce(F.sum(F.when(~F.col("priority"), F.col("s"))), F.lit(0)).alias("normal"),
+    ).join(header_sizes(rows, people, measure, options), "channel_id")
+    own = F.when(~F.col("priority"), F.col("s")).otherwise(F.lit(0))
+    o = running_sum(slice_groups(sized, ["channel_id"], ORDER, max_rows), own, "upto")
+    kept = o.result().where("NOT priority").join(fixed, "channel_id")
+    size = F.col("header") + F.col("fixed") + F.col("normal") - F.col("upto") + F.col("s")
+    fits = F.when(size <= measure.limit * 100, F.col("from_newest"))
+    return kept.groupBy("channel_id").agg(F.coalesce(F.max(fits), F.lit(0)).alias("guess"))
+
+
+def _candidates() -> Column:
+    """Values of ``k`` to measure next, strictly between ``lo`` and ``hi``.
+
+    ``lo`` is the largest known to fit (-1: none), ``hi`` the smallest known
+    not to (n + 1: none).  The first round looks around the guess and at both
+    ends, the next ones around the linear interpolation of the known sizes.
+    """
+    lo, hi, n = F.col("lo"), F.col("hi"), F.col("n_normal")
+    slope = (F.col("hi_size") - F.col("lo_size")) / (hi - lo)
+    mid = lo + F.floor((F.col("limit") - F.col("lo_size")) / F.when(slope > 0, slope))
+    even = F.array(*[lo + F.ceil((hi - lo) * i / 4) for i in (1, 2, 3)])
+
+    def around(k: Column, steps: tuple[int, ...]) -> Column:
+        return F.array(*[F.least(F.greatest(k + d, lo + 1), hi - 1) for d in steps])
+
+    both_ends = F.array(F.lit(0).cast("bigint"), n)
+    pick = (
+        F.when((lo < 0) | (hi > n), F.concat(around(F.col("guess"), (-3, -1, 0, 1, 3)), both_ends))
+        .when(mid.isNull(), even)
+        .otherwise(F.concat(around(mid, (-6, -2, 0, 1, 2, 6)), even))
+    )
+    return F.array_distinct(F.filter(pick, lambda k: (k > lo) & (k < hi)))
 
 
 def trim(
@@ -158,105 +222,70 @@ def trim(
 ) -> Trimmed:
     """Trim every channel to the budget.
 
-    Keyword matches always stay.  The rest is filled newest first by estimated
-    characters, then the exact size decides: oldest normal messages are dropped
-    until it fits, or newer ones added back while it still fits.  Without
-    ``max_tokens`` the limit is ``max_chars`` characters.
+    Keyword matches always stay.  Of the other messages the newest ``k`` stay,
+    ``k`` being the largest number whose exact rendered size is within the
+    limit; it grows with ``k``, so that is where dropping the oldest messages
+    and adding back newer ones meet.  Without ``max_tokens`` the limit is
+    ``max_chars`` characters.
     """
     if max_tokens:
         measure = Measure.tokens(max_tokens, counter)
-        max_chars = max_chars or chars_for_tokens(max_tokens)
         shown_limit = max_tokens
     else:
         measure = Measure.chars(max_chars)
         shown_limit = int(max_chars / 4 + 0.5)
     options = D.RenderOptions(max_tokens=shown_limit)
     reserve = legend_reserve(people.count())
-    filled = fill_newest(msgs, matches_keywords(F.col("parts"), keywords), reserve, max_chars, max_rows)
-    extra = {"priority", "from_newest", "n_normal", "in_fill"}
-    rows = narrow(filled)
-    sized = filled.select("channel_id", *ORDER, *sorted(extra), *[v.alias(k) for k, v in _sizes(measure).items()])
-    rows = materialize(rows.join(sized, ["channel_id", *ORDER]), "trim-rows")
+    fill_chars = max_chars or chars_for_tokens(max_tokens)
+    filled = fill_newest(msgs, matches_keywords(F.col("parts"), keywords), reserve, fill_chars, max_rows)
+    sized = filled.withColumns(_sizes(measure))
+    rows = narrow(sized, "priority", "from_newest", "n_normal", "in_fill", "own_size", "glued_size")
+    rows = materialize(rows, "trim-rows")
     largest = largest_group(rows, ["channel_id", "day"])
 
-    def measured(state: DataFrame, k: Column) -> DataFrame:
-        wanted = state.select("channel_id", k.cast("bigint").alias("k"))
-        return measure_kept(rows, wanted, people, measure, options, max_rows, largest)
-
-    def keep_state(df: DataFrame) -> DataFrame:
-        return materialize(df, "trim-state")
-
     state = rows.groupBy("channel_id").agg(
-        F.count("*").alias("total"),
-        F.max("n_normal").alias("n_normal"),
-        F.count_if(F.col("in_fill") & ~F.col("priority")).alias("k"),
+        F.count("*").alias("total"), F.max("n_normal").alias("n_normal")
     )
-    limit = F.lit(measure.limit)
-    state = keep_state(state)
-    first = measured(state, F.col("k")).withColumnRenamed("size", "size_k")
-    state = keep_state(state.join(first, "channel_id"))
-
-    # Too large: the smallest number of oldest normal messages to drop.
-    over = state.where(F.col("size_k") > limit)
-    if not over.isEmpty():
-        floor = measured(over, F.lit(0)).withColumnRenamed("size", "size_0")
-        over = over.join(floor, "channel_id")
-        hopeless = (F.col("k") == 0) | (F.col("size_0") > limit)
-        search = keep_state(over.select(
-            "channel_id", "k", F.when(hopeless, F.col("k")).otherwise(F.lit(1).cast("bigint")).alias("lo"),
-            F.col("k").alias("hi"),
-        ))
-        while not (active := search.where("lo < hi")).isEmpty():
-            mid = F.floor((F.col("lo") + F.col("hi")) / 2)
-            probe = measured(active, F.col("k") - mid)
-            fits = F.col("size") <= limit
-            search = keep_state(search.join(probe, "channel_id", "left").select(
-                "channel_id", "k",
-                F.when(F.col("size").isNull() | fits, F.col("lo")).otherwise(mid + 1).alias("lo"),
-                F.when(fits, mid).otherwise(F.col("hi")).alias("hi"),
-            ))
-        dropped = search.select("channel_id", (F.col("k") - F.col("lo")).alias("__k"))
-        state = keep_state(
-            state.join(dropped, "channel_id", "left").withColumn("k", F.coalesce("__k", "k")).drop("__k")
+    state = state.join(_guess(rows, people, measure, options, max_rows, largest), "channel_id", "left")
+    unknown = F.lit(None).cast("bigint")
+    state = materialize(state.select(
+        "channel_id", "total", "n_normal", F.coalesce("guess", F.lit(0)).cast("bigint").alias("guess"),
+        F.lit(measure.limit).cast("bigint").alias("limit"),
+        F.lit(-1).cast("bigint").alias("lo"), (F.col("n_normal") + 1).alias("hi"),
+        unknown.alias("lo_size"), unknown.alias("hi_size"), unknown.alias("zero_size"),
+    ), "trim-state")
+    empty = msgs.sparkSession.range(1).select(F.floor((measure.size(F.lit(EMPTY_TEXT)) + 50) / 100)).first()[0]
+    fits = F.col("size") <= measure.limit
+    while not (active := state.where("hi - lo > 1")).isEmpty():
+        wanted = active.select("channel_id", F.explode(_candidates()).alias("k"))
+        seen = measure_kept(rows, wanted, people, measure, options, max_rows, largest, empty)
+        good, bad = F.when(fits, F.struct("k", "size")), F.when(~fits, F.struct("k", "size"))
+        found = seen.groupBy("channel_id").agg(
+            F.max(good).alias("good"),
+            F.min(bad).alias("bad"),
+            F.max(F.when(F.col("k") == 0, F.col("size"))).alias("zero"),
         )
-
-    # Room left: the largest number of newest left-out messages to add back.
-    under = state.where(F.col("k") < F.col("n_normal"))
-    if not under.isEmpty():
-        whole = measured(under, F.col("n_normal"))
-        search = keep_state(under.join(whole, "channel_id").select(
-            "channel_id", "k",
-            F.when(F.col("size") <= limit, F.col("n_normal") - F.col("k")).otherwise(F.lit(0)).cast("bigint").alias("lo"),
-            (F.col("n_normal") - F.col("k")).alias("hi"),
-        ))
-        while not (active := search.where("lo < hi")).isEmpty():
-            mid = F.ceil((F.col("lo") + F.col("hi")) / 2)
-            probe = measured(active, F.col("k") + mid)
-            fits = F.col("size") <= limit
-            search = keep_state(search.join(probe, "channel_id", "left").select(
-                "channel_id", "k",
-                F.when(fits, mid).otherwise(F.col("lo")).alias("lo"),
-                F.when(F.col("size").isNull() | fits, F.col("hi")).otherwise(mid - 1).alias("hi"),
-            ))
-        added = search.select("channel_id", (F.col("k") + F.col("lo")).alias("__k"))
-        state = keep_state(
-            state.join(added, "channel_id", "left").withColumn("k", F.coalesce("__k", "k")).drop("__k")
-        )
-
-    final_size = measured(state, F.col("k"))
-    kept_keys = rows.join(state.select("channel_id", "k"), "channel_id").where(
+        state = materialize(state.join(found, "channel_id", "left").select(
+            "channel_id", "total", "n_normal", "guess", "limit",
+            F.coalesce("good.k", "lo").alias("lo"),
+            F.coalesce("bad.k", "hi").alias("hi"),
+            F.coalesce("good.size", "lo_size").alias("lo_size"),
+            F.coalesce("bad.size", "hi_size").alias("hi_size"),
+            F.coalesce("zero", "zero_size").alias("zero_size"),
+        ), "trim-state")
+
+    keep = state.select("channel_id", F.greatest("lo", F.lit(0)).alias("k"))
+    kept_keys = rows.join(keep, "channel_id").where(
         F.col("priority") | (F.col("from_newest") <= F.col("k"))
     ).select("channel_id", *ORDER)
     kept = msgs.join(kept_keys, ["channel_id", *ORDER], "left_semi")
-    n_kept = kept_keys.groupBy("channel_id").agg(F.count("*").alias("__kept"))
-    report = (
-        state.join(final_size, "channel_id").join(n_kept, "channel_id", "left")
-        .withColumn("budget_exceeded", (F.coalesce("__kept", F.lit(0)) > 0) & (F.col("size") > limit))
-    )
     kept = drop_low_activity(kept, min_messages)
     left = kept.groupBy("channel_id").agg(F.count("*").alias("kept"))
-    report = report.join(left, "channel_id", "left").select(
-        "channel_id", "total", F.coalesce("kept", F.lit(0)).alias("kept"), "size", "budget_exceeded"
+    # nothing fits: the priority messages alone are over the limit
+    report = state.join(left, "channel_id", "left").select(
+        "channel_id", "total", F.coalesce("kept", F.lit(0)).alias("kept"),
+        F.coalesce("lo_size", "zero_size").alias("size"),
+        ((F.col("lo") < 0) & (F.col("total") > F.col("n_normal"))).alias("budget_exceeded"),
     )
     return Trimmed(kept, report)
 

@@ -14,8 +14,8 @@ from ..operators.ordered import MAX_GROUP_ROWS, last_known, previous_row, runnin
 ORDER = ("ts", "file_idx", "msg_idx")
 
 
-def narrow(msgs: DataFrame) -> DataFrame:
-    """Only what the layout looks at; message bodies stay behind."""
+def narrow(msgs: DataFrame, *also: str) -> DataFrame:
+    """Only what the layout looks at and ``also``; message bodies stay behind."""
     first = F.get("parts", F.lit(0))
     last = F.try_element_at("parts", F.lit(-1))
     return msgs.select(
@@ -24,6 +24,7 @@ def narrow(msgs: DataFrame) -> DataFrame:
         F.size("parts").alias("n_parts"),
         F.coalesce(first.startswith("^"), F.lit(False)).alias("caret"),
         last.endswith(":").alias("colon"),
+        *also,
     )
 
 
