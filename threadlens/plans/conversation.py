@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,11 @@ class Conversation:
 HEADER_COLUMNS = ("file_id", "channel_id", "base_name", "after_date", "exported_at", "invalid", "error")
 
 
+def _loadable(file_id: str) -> str:
+    """A file's metadata path as a path to load: decoded, glob characters escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file_id))
+
+
 def read_exports(
     spark: SparkSession, path: str, options: Options = Options(), mapping: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -38,7 +45,7 @@ def read_exports(
     listed = catalog.latest_uploads(catalog.with_format(catalog.list_files(spark, path)))
     listed = materialize(listed, "files")
     by_format = {
-        r["format"]: r["paths"]
+        r["format"]: [_loadable(p) for p in r["paths"]]
         for r in listed.groupBy("format").agg(F.collect_list("file_id").alias("paths")).collect()
     }
     heads, bodies = [], []
@@ -57,7 +64,7 @@ def read_exports(
             F.lit(None).cast("timestamp").alias("exported_at"),
             F.lit(False).alias("invalid"), F.lit(None).cast("string").alias("error"),
         ))
-        bare = {r["file_id"] for r in html_export.layouts(spark, *paths).where("bare").collect()}
+        bare = {_loadable(r["file_id"]) for r in html_export.layouts(spark, *paths).where("bare").collect()}
         for marker, chosen in (
             (html_export.GROUP_QUOTED, [p for p in paths if p not in bare]),
             (html_export.GROUP_BARE, [p for p in paths if p in bare]),
