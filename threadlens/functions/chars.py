@@ -49,16 +49,18 @@ EMOJI = rf"(?![\x00-\xA8\xAF-\x{{200C}}])[{EMOJI_BODY}]"
 EMOJI_OR_JOINER = rf"(?![\x00-\xA8\xAF-\x{{200C}}])[{EMOJI_BODY}\x{{FE0F}}\x{{200D}}]"
 
 
-def js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{WS}]+|[{WS}]+$", "")
+# Turns down everyday letters and signs with one cheap test each.
+NOT_PLAIN = r"(?![!-~\xA1-\x{167F}])"
 
 
-def js_rtrim(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WS}]+$", "")
+def js_trim(c: Column) -> Column:
+    """Trim by the wide white-space class; untouched text is not searched."""
+    edge = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)).rlike(rf"[{WS}]")
+    return F.when(edge, F.regexp_replace(c, rf"^[{WS}]+|{NOT_PLAIN}[{WS}]+$", "")).otherwise(c)
 
 
 def squeeze_ws(c: Column) -> Column:
-    return F.regexp_replace(c, rf"[{WS}]+", " ")
+    return F.regexp_replace(c, rf"{NOT_PLAIN}[{WS}]+", " ")
 
 
 def u16len(c: Column) -> Column:

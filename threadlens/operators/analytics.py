@@ -70,15 +70,12 @@ def totals(e: DataFrame, author: str = "author_id", ts: str = "ts") -> DataFrame
     Rows without a valid time count as messages and nowhere else.
     """
     valid = F.col(ts).isNotNull()
-    cells = e.groupBy(F.when(valid, F.col(author)).alias("a"), "day", "hour").agg(
+    cells = e.groupBy(F.when(valid, F.col(author)).alias("a"), "day").agg(
         F.count("*").alias("n"),
         F.sum(F.when(valid, _blob_sum())).alias("r"),
         F.min(ts).alias("lo"),
         F.max(ts).alias("hi"),
     )
-    per_hour = [
-        F.coalesce(F.sum(F.when(F.col("hour") == h, F.col("n"))), F.lit(0)) for h in range(24)
-    ]
     one = cells.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("messages"),
         F.count_distinct("a").alias("participants"),
@@ -86,11 +83,10 @@ def totals(e: DataFrame, author: str = "author_id", ts: str = "ts") -> DataFrame
         F.coalesce(F.sum("r"), F.lit(0)).alias("reactions"),
         F.min("lo").alias("start"),
         F.max("hi").alias("end"),
-        F.array(*per_hour).alias("hours"),
     )
-    # array_position finds the first maximum, which is the lowest hour of a tie
-    peak = (F.array_position("hours", F.array_max("hours")) - 1).cast("int")
-    return one.withColumn("peak_hour", peak).drop("hours")
+    # two single rows are lined up; the hours need no column but the time
+    peak = peak_hour(e).withColumn("__one", F.lit(1))
+    return one.withColumn("__one", F.lit(1)).join(peak, "__one").drop("__one")
 
 
 def heatmap(e: DataFrame, dense: bool = False) -> DataFrame:

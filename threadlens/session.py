@@ -50,3 +50,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(spark)}/threadlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def fan_out(df: DataFrame) -> DataFrame:
+    """Spread a small input over all cores before CPU-heavy expressions.
+
+    A table in one file with one row group is read by one task.  Tables with
+    enough splits, which is every large one, are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from threadlens.functions import clock
 from threadlens.operators import analytics as A
 from threadlens.operators import filters, graph, sequences as S
+from threadlens.session import materialize
 
 from .tables import EVENT_BODY, EVENTS, event_messages, people_of, table, with_sql
 
@@ -193,6 +194,12 @@ def author_counts(spark, sf_dir):
     return A.author_counts(event_messages(spark, sf_dir))
 
 
+def users_and_edges(spark, sf_dir):
+    """Both are read by several branches of the network, so they are written."""
+    e = enriched(spark, sf_dir)
+    return materialize(A.user_stats(e), "users"), materialize(A.reply_edges(e), "edges")
+
+
 # ── reply graph ─────────────────────────────────────────────────────────────
 
 PAIRS_CTE = """pairs AS (
@@ -218,15 +225,13 @@ def reply_pairs(spark, sf_dir):
 SELECT a, b, ab, ba, raw, round(weight, 6) AS weight,
   round(CASE WHEN max(weight) OVER () > 0 THEN weight / max(weight) OVER () ELSE raw / max(raw) OVER () END, 6) AS w FROM net""", NET_CTES)
 def reply_network_edges(spark, sf_dir):
-    e = enriched(spark, sf_dir)
-    net = graph.network_edges(A.user_stats(e), A.reply_edges(e))
+    net = graph.network_edges(*users_and_edges(spark, sf_dir))
     return net.withColumn("weight", F.round("weight", 6)).withColumn("w", F.round("w", 6))
 
 
 @query("reply_network_nodes", "SELECT uid, author_name, messages FROM shown WHERE uid IN (SELECT a FROM net UNION SELECT b FROM net)", NET_CTES)
 def reply_network_nodes(spark, sf_dir):
-    e = enriched(spark, sf_dir)
-    return graph.network_nodes(A.user_stats(e), A.reply_edges(e))
+    return graph.network_nodes(*users_and_edges(spark, sf_dir))
 
 
 @query("reply_partners", """
@@ -359,7 +364,7 @@ UNION ALL (SELECT 'longest', author_name, chars, text FROM enr WHERE NOT is_syst
 UNION ALL (SELECT 'top_pair', 'user_' || CAST(CAST(substr(src, 2) AS BIGINT) - 1 AS VARCHAR), n, 'user_' || CAST(CAST(substr(dst, 2) AS BIGINT) - 1 AS VARCHAR) FROM edges WHERE src <> dst ORDER BY n DESC, fp LIMIT 1)
 """, (*EDGE_CTES, REACT_CTE, MEDIA_CTE))
 def recap(spark, sf_dir):
-    return S.recap(enriched(spark, sf_dir))
+    return S.recap(materialize(enriched(spark, sf_dir), "enriched"))
 
 
 @query("day_index", """

@@ -12,15 +12,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.session import configure
+from threadlens.session import configure, fan_out
 
 EPOCH_MS = 1420070400000
 DAY0_MS = 1704067200000  # 2024-01-01
 
 
+# Tables whose queries spend their time in expressions, not in reading.
+HEAVY = ("documents", "events", "pages", "conversations")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     configure(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return fan_out(df) if name in HEAVY else df
 
 
 def with_sql(*ctes: str, body: str) -> str:
