@@ -48,7 +48,7 @@ def ingest_json(
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
-    """Everything ingested so far, each file once even if it was sent again."""
+    """Everything ingested so far; the file source hands each path over once."""
     return spark.read.parquet(target).drop("batch")
 
 
