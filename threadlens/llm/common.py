@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from threadlens.session import materialize
 
 CHUNK_CHARS = 1 << 20
+BROADCAST_ROWS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +34,11 @@ def text_chunks(
             yield batch.slice(start), texts[start:]
 
 
+def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``small`` (a written table of narrow rows), marked for broadcast if it has ``rows`` rows at most; else a shuffled join follows."""
+    return F.broadcast(small) if small.count() <= rows else small
+
+
 def share(key: Column, divisor: int) -> Column:
     """crc32 of the key as text, modulo ``divisor``: the fold of a row."""
     return F.crc32(key.cast("string").cast("binary")) % divisor
@@ -72,3 +78,10 @@ def components(edges: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     )
+
+
+def named_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, name) of every node with an edge; ``nodes`` has (node, least), the name is the smallest ``least``."""
+    found = components(edges).join(nodes.select("node", "least"), "node")
+    names = found.groupBy("component").agg(F.min("least").alias("name"))
+    return found.join(names, "component").select("node", "name")

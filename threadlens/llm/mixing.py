@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from threadlens.session import materialize
 
+from .common import bounded
+
 #: The largest mean that is inverted in one step; a Poisson number of a larger mean is the sum of several.
 STEP = 16.0
 STEP_COUNTS = 80
@@ -78,11 +80,11 @@ def mix(
     ``STEP`` are drawn as a sum of independent parts, so large rates are exact too.
     Texts are never looked at: null and empty ones are mixed like any others.
     """
-    r = source_rates.select(F.col(key).alias("__key"), "rate").where("rate > 0")
     parts = F.ceil(F.col("rate") / STEP).cast("int")
-    r = materialize(r.withColumn("__parts", parts).withColumn("__table", cumulative(F.col("rate") / parts)), "rates")
-    if r.count() <= BROADCAST_SOURCES:
-        r = F.broadcast(r)
+    r = source_rates.where("rate > 0").select(
+        F.col(key).alias("__key"), parts.alias("__parts"), cumulative(F.col("rate") / parts).alias("__table")
+    )
+    r = bounded(materialize(r, "rates"), BROADCAST_SOURCES)
     names = docs.columns
     counts = F.aggregate(
         F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda n, i: n + drawn(uniform(F.lit(seed), F.col(id), i), F.col("__table"))

@@ -8,9 +8,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from threadlens.session import work_dir
+from threadlens.session import materialize, work_dir
 
-from . import decontamination, mixing, simhash, token_output, toxicity
+from . import chat, decontamination, embeddings, language, lines, mixing, pii, simhash, token_output, toxicity
 from .common import share, table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -62,10 +62,43 @@ def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, path)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = share(F.col("doc_id"), 4)
+    model = language.train(docs.where(fold != 2))
+    found = language.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.extract(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id", *(pii.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS),
+        F.sha2(pii.joined(F.col("base")), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"),
+    )
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    made = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], turns.schema)
+    parts = turns.unionByName(made).withColumn("parts", chat.text_parts(F.col("text")))
+    return chat.digests(materialize(chat.format_turns(parts), "chat"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_simhash_near_dedup, op3_token_output, op5_benchmark_decontamination, op9_toxicity, op10_source_mixing,
+        op1_simhash_near_dedup, op2_language_id, op3_token_output, op4_embedding_near_dedup, op5_benchmark_decontamination,
+        op6_personal_data, op7_line_dedup, op8_chat_formatting, op9_toxicity, op10_source_mixing,
     )
 }
 

@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from threadlens.session import materialize
 
-from .common import components, text_chunks
+from .common import BROADCAST_ROWS, bounded, components, named_components, text_chunks
 
 SEED = 42
 FAN = 16
@@ -317,10 +317,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
     """
     made = materialize(fingerprints(docs.select(F.col(id).alias("id"), F.col(text).alias("text")), size=size), "fingerprints")
     distinct = materialize(made.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
-    joined = components(links(distinct, radius))
-    found = joined.join(distinct, joined.node == distinct.fp).select("fp", "component", "least")
-    names = found.groupBy("component").agg(F.min("least").alias("name"))
-    named = found.join(names, "component").select("fp", "name")
+    named = named_components(links(distinct, radius), distinct.withColumnRenamed("fp", "node")).withColumnRenamed("node", "fp")
     classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
     return made.join(classes, "fp").select(
         F.col("id").alias(id), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
@@ -394,14 +391,6 @@ def near_forest(bits: np.ndarray, words: np.ndarray, radius: int, exact: np.uint
     return a, b
 
 
-def bounded(small: DataFrame, rows: int) -> DataFrame:
-    """``small`` (a written table), marked for broadcast where it has at most ``rows`` rows; else a shuffled join follows."""
-    return F.broadcast(small) if small.count() <= rows else small
-
-
-BROADCAST_ROWS = 1_000_000
-
-
 def similar_texts(
     docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8, radius: int = 2,
     max_group: int = MAX_GROUP,

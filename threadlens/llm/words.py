@@ -59,9 +59,15 @@ def letter_table(digits: bool) -> np.ndarray:
     return _made[digits]
 
 
+def lower(text: str) -> str:
+    """Lower case with every character in its place."""
+    out = text.lower()
+    return out if len(out) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def split(texts: list[str], digits: bool = False) -> Words:
     """Lower-cased runs of letters (and digits) of all texts."""
-    lowered = [t.lower() for t in texts]
+    lowered = [lower(t) for t in texts]
     codes = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered)))
     inside = letter_table(digits)[np.minimum(codes, TABLE - 1)]
