@@ -203,7 +203,7 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
     def scored(batches):
         place = place_of(machine.buckets)
         weight = np.asarray(machine.weights)
-        vectors = np.asarray(machine.vectors).reshape(len(weight), -1)
+        vectors = np.asarray(machine.vectors).reshape(len(weight), FACTORS)
         for batch, texts in text_chunks(batches, text):
             raw = np.full(len(texts), machine.bias)
             if len(weight):
