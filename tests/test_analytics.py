@@ -132,6 +132,8 @@ def test_filters(make_msgs, spark):
     assert filters.drop_media_only(m).count() == 2
     hit = lambda *k: m.where(filters.matches_keywords(F.col("parts"), k)).count()
     assert (hit("(A+B)"), hit("été"), hit("/c.st/"), hit("/c.st/m"), hit("/(/")) == (1, 1, 1, 0, 0)
+    # what the JVM takes is a pattern, anything else a literal
+    assert (hit("/(?<x>c.st)/"), hit("/(?P<x>c.st)/")) == (1, 0)
     assert filters.drop_low_activity(m, 2).count() == 2
     people = spark.createDataFrame([("U1", "ann"), ("U2", "bot")], "uid string, label string")
     assert filters.keep_authors_by_label(m, spark.createDataFrame([("ann",)], "n string"), people).count() == 2

@@ -139,11 +139,11 @@ def test_html(make_msgs):
         dict(author_id="U1", ts="2025-01-01T09:00:00Z", parts=["late"]),
     )
     text = D.document_text(page.render(m, people(m))).first()["text"]
-    assert 'a &lt;b&gt; <a href="https://x.y/z?q=1" target="_blank" rel="noopener noreferrer">https://x.y/z?q=1</a> <span class="chip">[IMG: p.png]</span>' in text
-    assert text.count('class="msg cont"') == 1 and text.count('class="msg"') == 3
-    assert '<span class="react">👍 <span class="rc">2</span></span><span class="react">x</span>' in text
-    assert '<span class="reply-who">name U1</span>' in text and "Session break · 8h 58m" in text
-    assert "4 messages · from Wed, 01 Jan 2025 00:00:00 GMT" in text and text.endswith("</html>")
+    assert 'a &lt;b&gt; <a href="https://x.y/z?q=1" rel="noreferrer">https://x.y/z?q=1</a> <kbd>[IMG: p.png]</kbd>' in text
+    assert text.count('<article class="same">') == 1 and text.count("<article>") == 3
+    assert "<small>👍 × 2</small> <small>x</small>" in text
+    assert "<cite>name U1</cite>" in text and "Session break · 8h 58m" in text
+    assert "4 messages · from Wed, 01 Jan 2025 00:00:00 GMT" in text and text.endswith("</main>")
 
 
 def test_export_folders(make_msgs, tmp_path):

@@ -10,7 +10,7 @@ from threadlens.sources import catalog, html_export, json_export, txt_export
 
 
 def msg(id, text="hi", user="1", **kw):
-    d = {"id": id, "type": "Default", "timestamp": "2025-07-12T03:50:00+00:00", "content": text,
+    d = {"id": id, "type": "Default", "timestamp": "2025-03-04T08:14:00+00:00", "content": text,
          "author": {"id": user, "name": f"user{user}", "nickname": f"Nick {user}"},
          "attachments": [], "embeds": [], "stickers": [], "reactions": []}
     d.update(kw)
@@ -19,7 +19,7 @@ def msg(id, text="hi", user="1", **kw):
 
 def doc(*messages, **kw):
     d = {"guild": {"name": "G"}, "channel": {"id": "77", "category": "cat", "name": "general"},
-         "dateRange": {"after": "2025-07-01T00:00:00", "before": None}, "exportedAt": "2025-08-01T00:00:00+00:00",
+         "dateRange": {"after": "2025-02-01T00:00:00", "before": None}, "exportedAt": "2025-04-01T00:00:00+00:00",
          "messages": list(messages)}
     d.update(kw)
     return d
@@ -60,7 +60,7 @@ def test_json_export(spark, tmp_path, indent):
     order = [r["message_id"] for r in sorted(got.values(), key=lambda r: r["msg_idx"])]
     assert order == ["1", "2", "3", "4", "5", "8", "9"]
     h = json_export.headers(frag).first()
-    assert (h["channel_id"], h["base_name"], h["after_date"], h["invalid"]) == ("77", "G - cat - general", "2025-07-01", False)
+    assert (h["channel_id"], h["base_name"], h["after_date"], h["invalid"]) == ("77", "G - cat - general", "2025-02-01", False)
 
 
 def test_last_duplicate_id_answers_a_reply(spark, tmp_path):
@@ -97,19 +97,43 @@ def test_invalid_json(spark, tmp_path, content, error):
     assert h["invalid"] and h["error"] == error
 
 
+def test_json_with_a_message_per_line(spark, tmp_path):
+    d = doc(msg("1", "a {b}"), msg("2", "c },"), msg("3"))
+    lines = ",\n".join("    " + json.dumps(m) for m in d["messages"])
+    head = json.dumps({k: v for k, v in d.items() if k != "messages"})[:-1]
+    (tmp_path / "a.json").write_text(f'{head},\n  "messages": [\n{lines}\n  ],\n  "messageCount": 3\n}}')
+    fragments = json_export.read_fragments(spark, str(tmp_path))
+    assert not json_export.headers(fragments).first()["invalid"]
+    got = json_export.scan(fragments).orderBy("msg_idx").collect()
+    assert [r["message_id"] for r in got] == ["1", "2", "3"] and got[1]["parts"] == ["c },"]
+
+
+def test_equal_names_in_different_folders_are_different_files(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "general.json").write_text(json.dumps(doc(msg(f"{folder}1")), indent=2))
+    files = catalog.latest_uploads(catalog.list_files(spark, str(tmp_path)))
+    assert sorted(r["key"] for r in files.collect()) == ["a/general.json", "b/general.json"]
+    again = catalog.latest_uploads(catalog.list_files(spark, str(tmp_path / "a"), str(tmp_path / "b")))
+    assert again.count() == 1
+    with pytest.raises(ValueError, match="no export files"):
+        (tmp_path / "none").mkdir()
+        conversation.read_exports(spark, str(tmp_path / "none"), Options())
+
+
 TXT = """==============================================================
 Guild: My Guild
 Channel: cat / general
 Topic: x
 ==============================================================
 
-[7/12/2025 3:50 AM] ann
+[3/4/2025 3:50 AM] ann
 Hello
 
 second paragraph
 > quoted
 
-[7/12/2025 3:51 AM] bea
+[3/4/2025 3:51 AM] bea
 {Attachments}
 https://cdn.x/a/b%20c.png?ex=1
 https://
@@ -119,7 +143,7 @@ ftp://nope
 👍
 🔥 (2)
 
-[7/12/2025 12:01 PM] cat
+[3/4/2025 12:01 PM] cat
 {Forwarded Message}
 passed on
 Originally sent: 1/1/2025
@@ -133,7 +157,7 @@ after embed
 https://cdn.x/s1.png
 https://cdn.x/s2.png
 
-[7/12/2025 12:02 PM] dan
+[3/4/2025 12:02 PM] dan
 joined the server.
 
 {Reactions}
@@ -163,11 +187,11 @@ def test_txt_export(spark, tmp_path, newline):
     h = txt_export.headers(lines).first()
     assert (h["channel_id"], h["base_name"]) == ("My Guild|cat / general", "My Guild - general")
     ny = txt_export.scan(lines, "America/New_York").orderBy("msg_idx").first()
-    assert ny["ts"].hour == 7
+    assert ny["ts"].hour == 8
 
 
 def test_txt_file_over_many_blocks(spark, tmp_path):
-    body = "".join(f"[7/12/2025 3:{i % 60:02d} AM] p{i % 7}\nline {i}\nmore {i}\n\n" for i in range(4000))
+    body = "".join(f"[3/4/2025 3:{i % 60:02d} AM] p{i % 7}\nline {i}\nmore {i}\n\n" for i in range(4000))
     (tmp_path / "a.txt").write_text("Guild: g\nChannel: c\n\n" + body)
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
@@ -197,20 +221,20 @@ def body(t):
 
 GROUPS = [
     ("ann", "11", [
-        ('data-message-id="1393439224627200000"', body("a &lt;b&gt; <strong>c</strong> chatlog__message-group")),
-        ('data-message-id="1393439476285440000"', body("two") +
+        ('data-message-id="1346000000000000000"', body("a &lt;b&gt; <strong>c</strong> chatlog__message-group")),
+        ('data-message-id="1346000251658240000"', body("two") +
          '<a class="chatlog__attachment" href="https://x/y/z%20w.GIF?e=1"><img src="t"></a>'
          '<div class="chatlog__embed"><div class="chatlog__embed-provider">YouTube</div><div class="chatlog__embed-title">Clip</div></div>'
          '<div class="chatlog__embed"><video></video></div><div class="chatlog__sticker"></div><div class="chatlog__sticker"></div>'
          '<div class="chatlog__reaction"><img alt="👍"><span class="chatlog__reaction-count"> 4 </span></div><div class="chatlog__reaction">x</div>'),
     ]),
     ("bea", "12", [
-        ('data-message-id="1393439727943680000"',
+        ('data-message-id="1346000503316480000"',
          '<div class="chatlog__reply"><div class="chatlog__reply-author">ann</div><div class="chatlog__reply-content">'
-         '<span class="chatlog__reply-link" onclick="scrollToMessage(event,\'1393439224627200000\')">Click to see attachment</span></div></div>' + body("yes")),
-        ('id="message-500"', '<span class="chatlog__timestamp" title="Saturday, July 12, 2025 3:55 AM"></span>' + body("legacy")),
+         '<span class="chatlog__reply-link" onclick="scrollToMessage(event,\'1346000000000000000\')">Click to see attachment</span></div></div>' + body("yes")),
+        ('id="message-500"', '<span class="chatlog__timestamp" title="Thursday, February 6, 2025 4:41 PM"></span>' + body("legacy")),
         ('id="message-501"', body("no time")),
-        ('data-message-id="1393439727943690000"', '<span class="chatlog__system-notification-content">pinned.</span>'),
+        ('data-message-id="1346000503316490000"', '<span class="chatlog__system-notification-content">pinned.</span>'),
     ]),
 ]
 
@@ -218,19 +242,49 @@ GROUPS = [
 @pytest.mark.parametrize("bare", [False, True])
 def test_html_export(spark, tmp_path, bare):
     (tmp_path / "a.html").write_text(html(GROUPS, bare))
-    assert html_export.layouts(spark, str(tmp_path)).first()["bare"] == bare
-    marker = html_export.GROUP_BARE if bare else html_export.GROUP_QUOTED
+    marker = html_export.layouts(spark, str(tmp_path)).first()["marker"]
+    assert marker == ("<div class=chatlog__message-group" if bare else html_export.GROUP_QUOTED)
     got = html_export.scan(html_export.read_fragments(spark, str(tmp_path), marker=marker)).orderBy("msg_idx").collect()
-    assert [r["message_id"] for r in got] == ["1393439224627200000", "1393439476285440000", "1393439727943680000", "500", "1393439727943690000"]
+    assert [r["message_id"] for r in got] == ["1346000000000000000", "1346000251658240000", "1346000503316480000", "500", "1346000503316490000"]
     assert [r["author_key"] for r in got] == ["11", "11", "12", "12", "12"]
     assert got[0]["parts"] == ["a <b> c chatlog__message-group"]
     assert got[1]["parts"] == ["two", "[GIF: z w.GIF]", "[YT: Clip]", "[VID: Embedded Video]", "[STICKER]"]
     assert got[1]["reactions"] == "^{👍:4, ?:1}"
     assert got[2]["reply_to_name"] == "ann" and got[2]["reply_snippet"] == "…"
-    assert got[2]["reply_to_message_id"] == "1393439224627200000"
-    assert got[3]["ts"].minute == 55 and got[0]["ts"].minute == 50
+    assert got[2]["reply_to_message_id"] == "1346000000000000000"
+    assert got[3]["ts"].minute == 41 and got[0]["ts"].minute == 3
     assert got[4]["is_system"] and got[4]["parts"] == ["[pinned.]"]
     assert got[0]["author_username"] == "ann#1"
+    assert len({r["msg_idx"] for r in got}) == len(got)
+
+
+def test_html_groups_in_any_class_list(spark, tmp_path):
+    (tmp_path / "a.html").write_text(html(GROUPS).replace('<div class="chatlog__message-group"', '<div id=x class="wide chatlog__message-group new"'))
+    (tmp_path / "b.html").write_text("<html><body>nothing here</body></html>")
+    files, raw = conversation.read_exports(spark, str(tmp_path), Options())
+    assert {r["name"]: r["invalid"] for r in files.collect()} == {"a.html": False, "b.html": True}
+    assert raw.count() == 5
+    (tmp_path / "a.html").unlink()
+    assert conversation.read_exports(spark, str(tmp_path), Options())[1].count() == 0
+
+
+def test_html_positions_are_unique_and_in_order(spark, tmp_path):
+    sizes = [3, 1, 5, 2, 4] * 40
+    groups, n = [], 0
+    for size in sizes:
+        rows = [('id="message-%d"' % (n + k), '<span class="chatlog__timestamp" title="Monday, March 3, 2025 1:07 PM"></span>' + body(f"text {n + k}")) for k in range(size)]
+        groups.append((f"who{len(groups) % 7}", str(len(groups) % 7), rows))
+        n += size
+    (tmp_path / "a.html").write_text(html(groups))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("3000", before):  # many blocks, then one
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            got = html_export.scan(html_export.read_fragments(spark, str(tmp_path))).orderBy("msg_idx").collect()
+            assert len({r["msg_idx"] for r in got}) == n
+            assert [r["parts"][0] for r in got] == [f"text {k}" for k in range(n)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
 def test_file_names(spark):

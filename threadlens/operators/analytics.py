@@ -58,7 +58,7 @@ def _first_seen(order: Sequence[str]) -> Column:
     return F.struct(*order)
 
 
-def _blob_sum() -> Column:
+def blob_sum() -> Column:
     entries = P.reaction_entries(F.col("blob"))
     total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, e: acc + e["n"])
     return F.coalesce(total, F.lit(0))
@@ -70,9 +70,9 @@ def totals(e: DataFrame, author: str = "author_id", ts: str = "ts") -> DataFrame
     Rows without a valid time count as messages and nowhere else.
     """
     valid = F.col(ts).isNotNull()
-    cells = e.groupBy(F.when(valid, F.col(author)).alias("a"), "day").agg(
+    cells = e.groupBy(F.when(valid, F.col(author)).alias("a"), "day", "hour").agg(
         F.count("*").alias("n"),
-        F.sum(F.when(valid, _blob_sum())).alias("r"),
+        F.sum(F.when(valid, blob_sum())).alias("r"),
         F.min(ts).alias("lo"),
         F.max(ts).alias("hi"),
     )
@@ -84,8 +84,8 @@ def totals(e: DataFrame, author: str = "author_id", ts: str = "ts") -> DataFrame
         F.min("lo").alias("start"),
         F.max("hi").alias("end"),
     )
-    # two single rows are lined up; the hours need no column but the time
-    peak = peak_hour(e).withColumn("__one", F.lit(1))
+    # two single rows from the same cells are lined up
+    peak = busiest_hour(cells).withColumn("__one", F.lit(1))
     return one.withColumn("__one", F.lit(1)).join(peak, "__one").drop("__one")
 
 
@@ -119,7 +119,12 @@ def timeline(e: DataFrame) -> DataFrame:
 
 
 def peak_hour(e: DataFrame) -> DataFrame:
-    hours = e.where("hour IS NOT NULL").groupBy("hour").agg(F.count("*").alias("n"))
+    return busiest_hour(e.groupBy("hour").agg(F.count("*").alias("n")))
+
+
+def busiest_hour(cells: DataFrame) -> DataFrame:
+    """Hour with the most messages from any table of ``hour, n``; 0 without messages."""
+    hours = cells.where("hour IS NOT NULL").groupBy("hour").agg(F.sum("n").alias("n"))
     best = F.max_by("hour", F.struct(F.col("n"), -F.col("hour")))
     return hours.agg(F.coalesce(best, F.lit(0)).alias("peak_hour"))
 

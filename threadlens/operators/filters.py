@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parts import has_text
@@ -48,21 +49,25 @@ def keep_authors_by_id(df: DataFrame, ids: DataFrame, author: str = "author_id")
     return df.join(wanted, author, "left_semi")
 
 
+def _is_pattern(pattern: str) -> bool:
+    """Whether the JVM, which will run the pattern, accepts it."""
+    try:
+        SparkSession.active()._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException:
+        return False
+    return True
+
+
 def _compile_keyword(keyword: str) -> str:
     """Java pattern for ``/regex/flags`` or a literal; literal if invalid."""
     shaped = re.match(r"^/(.+)/([gimsuy]*)$", keyword, re.DOTALL)
     if shaped:
         body, flags = shaped.groups()
-        try:
-            re.compile(body)
-        except re.error:
-            pass
-        else:
-            flags = flags or "i"
-            inline = "".join(
-                f for f in ("i", "m", "s") if f in flags
-            ) + ("u" if "i" in flags else "")
-            return f"(?{inline}){body}" if inline else body
+        flags = flags or "i"
+        inline = "".join(f for f in ("i", "m", "s") if f in flags) + ("u" if "i" in flags else "")
+        pattern = f"(?{inline}){body}" if inline else body
+        if _is_pattern(pattern):
+            return pattern
     return "(?iu)" + re.escape(keyword)
 
 

@@ -28,7 +28,6 @@ BRIDGE_MIN_VOTES = 3
 
 KEY_CHARS = 64
 MSG_BITS = 41  # positions inside a file
-FILE_BITS = 20  # files of one channel
 
 SIGNATURE = ("channel_id", "author_id", "day", "text_key")
 
@@ -269,18 +268,14 @@ def keyed_dedup(msgs: DataFrame) -> DataFrame:
     """Best copy per message id: JSON over HTML over TXT, then the later file,
     then the earlier row in that file.
 
-    One aggregation with a packed rank, so that copies collapse before the
+    One aggregation with the rank as a struct, so that copies collapse before the
     shuffle.  ``pos`` becomes the position of the id's first copy, which is
     what ties in time are ordered by.
     """
     rank = (
         F.when(F.col("format") == "json", 2).when(F.col("format") == "txt", 0).otherwise(1)
     ).cast("bigint")
-    win = (
-        rank * (1 << (MSG_BITS + FILE_BITS))
-        + F.col("grp_file_idx").cast("bigint") * (1 << MSG_BITS)
-        + (F.lit((1 << MSG_BITS) - 1) - F.col("msg_idx"))
-    )
+    win = F.struct(rank.alias("format"), F.col("grp_file_idx"), (-F.col("msg_idx")).alias("row"))
     payload = [c for c in msgs.columns if c not in ("channel_id", "message_id", "pos")]
     best = (
         msgs.where(F.col("message_id").isNotNull())

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clock, parts as P
 from ..functions.chars import js_round, u16len
+from ..session import materialize
 from . import analytics, graph
 from .ordered import (
     MAX_GROUP_ROWS,
@@ -150,17 +151,22 @@ def top_one(counts: DataFrame, n: str = "n", ties: str = "first_pos") -> DataFra
     return counts.orderBy(F.desc(n), ties).limit(1).drop(ties)
 
 
-def _best_message(e: DataFrame, score: Column, text: Column, order: Sequence[str]) -> DataFrame:
-    """Row with the highest positive score, earliest first on ties.
-
-    A single aggregation: each task keeps one candidate.
-    """
+def _ranked(score: Column, text: Column, order: Sequence[str]) -> tuple[Column, Column]:
+    """Rank of a message by score, then by age, and the row shown of it."""
     rank = F.struct(
         score.alias("score"),
         (-clock.millis(F.col(order[0]))).alias("t"),
         *[(-F.col(c)).alias(c) for c in order[1:]],
     )
-    row = F.struct(score.alias("score"), "author_name", text.alias("text"), "ts")
+    return rank, F.struct(score.alias("score"), "author_name", text.alias("text"), "ts")
+
+
+def _best_message(e: DataFrame, score: Column, text: Column, order: Sequence[str]) -> DataFrame:
+    """Row with the highest positive score, earliest first on ties.
+
+    A single aggregation: each task keeps one candidate.
+    """
+    rank, row = _ranked(score, text, order)
     best = _not_system(e).where(score > 0).agg(F.max_by(row, rank).alias("b"))
     return best.where("b IS NOT NULL").select("b.*")
 
@@ -177,12 +183,33 @@ def longest_message(e: DataFrame, order: Sequence[str] = ORDER) -> DataFrame:
 def recap(e: DataFrame) -> DataFrame:
     """All highlights in long form: ``metric, name, value, detail``.
 
-    One row per figure, so no step has to line up single-row results.
+    Three passes over the messages: cells of (person, day, hour), the reaction
+    and reply items, and the two best messages.  Cells and items are written,
+    and every figure comes from them.  One row per figure, so no step has to
+    line up single-row results.
     """
-    days = day_counts(e)
-    users = analytics.user_stats(e)
-    edges = analytics.reply_edges(e)
-    tot = analytics.totals(e)
+    c = F.col
+    pos = F.struct(*ORDER)
+    cells = materialize(
+        e.groupBy("author_id", "author_name", "is_system", "day", "hour", "dow").agg(
+            F.count("*").alias("n"),
+            F.sum("words").alias("words"),
+            F.sum(F.coalesce(F.size(P.media_types(c("parts"))), F.lit(0))).alias("media"),
+            F.sum(analytics.blob_sum()).alias("reactions"),
+            F.min(pos).alias("first"),
+        ),
+        "recap-cells",
+    )
+    timed = cells.where("day IS NOT NULL")
+    people = timed.where("NOT is_system")
+    days = timed.groupBy("day").agg(F.sum("n").alias("n"))
+    users = timed.groupBy("author_id").agg(
+        F.min_by("author_name", "first").alias("author_name"), F.sum("n").alias("messages"),
+        F.min("first").alias("first_pos"),
+    )
+    items = materialize(_recap_items(e), "recap-items")
+    edges = items.where("kind = 'reply'").select(c("a").alias("src"), c("b").alias("dst"), "n", c("pos").alias("first_pos"))
+    emoji = items.where("kind = 'emoji'").select(c("a").alias("emoji"), "n", c("pos").alias("first_pos"))
 
     def rows(df: DataFrame, metric: str, value: Column, name=None, detail=None) -> DataFrame:
         blank = F.lit(None).cast("string")
@@ -193,43 +220,46 @@ def recap(e: DataFrame) -> DataFrame:
             (blank if detail is None else detail.cast("string")).alias("detail"),
         )
 
-    c = F.col
-    avg = js_round(c("messages") / F.when(c("active_days") > 0, c("active_days")))
-    scalars = tot.select(
-        F.explode(
-            F.create_map(
-                F.lit("messages"), c("messages"),
-                F.lit("participants"), c("participants"),
-                F.lit("active_days"), c("active_days"),
-                F.lit("reactions"), c("reactions"),
-                F.lit("peak_hour"), c("peak_hour").cast("bigint"),
-                F.lit("avg_per_day"), F.coalesce(avg, F.lit(0)),
-            )
-        ).alias("metric", "value")
+    valid = c("day").isNotNull()
+    tot = cells.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("messages"),
+        F.count_distinct(F.when(valid, c("author_id"))).alias("participants"),
+        F.count_distinct("day").alias("active_days"),
+        F.coalesce(F.sum(F.when(valid, c("reactions"))), F.lit(0)).alias("reactions"),
+        F.coalesce(F.sum(F.when(valid, c("words"))), F.lit(0)).alias("total_words"),
+        F.coalesce(F.sum(F.when(valid, c("media"))), F.lit(0)).alias("total_media"),
     )
+    avg = js_round(c("messages") / F.when(c("active_days") > 0, c("active_days")))
+    names = ("messages", "participants", "active_days", "reactions", "total_words", "total_media")
+    scalars = tot.withColumn("avg_per_day", F.coalesce(avg, F.lit(0))).select(F.explode(F.create_map(
+        *(x for n in (*names, "avg_per_day") for x in (F.lit(n), c(n).cast("bigint")))
+    )).alias("metric", "value"))
     named_edges = (
         graph.top_duo(edges)
         .join(users.select(c("author_id").alias("src"), c("author_name").alias("src_name")), "src", "left")
         .join(users.select(c("author_id").alias("dst"), c("author_name").alias("dst_name")), "dst", "left")
     )
+    opened = people.groupBy("day").agg(F.min(F.struct("first", c("author_name").alias("name"))).alias("f"))
+    opened = opened.groupBy(c("f.name").alias("author_name")).agg(F.count("*").alias("n"), F.min("day").alias("first_pos"))
+    late = people.where("hour < 6").groupBy("author_name").agg(F.sum("n").alias("n"), F.min("first").alias("first_pos"))
+    best = materialize(_highlights(e), "recap-best")
     pieces = [
         scalars.select("metric", F.lit(None).cast("string").alias("name"), "value",
                        F.lit(None).cast("string").alias("detail")),
+        rows(analytics.busiest_hour(timed), "peak_hour", c("peak_hour")),
         rows(longest_streak(days), "streak", c("streak")),
         rows(busiest_day(days), "busiest_day", c("n"), c("day")),
-        rows(busiest_weekday(e), "busiest_weekday", c("n"), c("dow")),
+        rows(timed.groupBy("dow").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dow").limit(1),
+             "busiest_weekday", c("n"), c("dow")),
         rows(longest_silence(days), "quiet_gap", c("days"), c("from_day"), c("to_day")),
-        rows(users.agg(F.sum("words").alias("w")), "total_words", F.coalesce(c("w"), F.lit(0))),
-        rows(analytics.media_breakdown(e).agg(F.sum("n").alias("m")), "total_media",
-             F.coalesce(c("m"), F.lit(0))),
         rows(analytics.with_bars(users, 3, n="messages"), "top_user", c("messages"),
              c("author_name"), c("rank")),
-        rows(analytics.with_bars(analytics.reaction_totals(e), 3), "top_emoji", c("n"),
-             c("emoji"), c("rank")),
-        rows(top_one(starters(e)), "starter", c("n"), c("author_name")),
-        rows(top_one(night_owls(e)), "night_owl", c("n"), c("author_name")),
-        rows(most_reacted(e), "most_reacted", c("score"), c("author_name"), c("text")),
-        rows(longest_message(e), "longest", c("score"), c("author_name"), c("text")),
+        rows(analytics.with_bars(emoji, 3), "top_emoji", c("n"), c("emoji"), c("rank")),
+        rows(top_one(opened), "starter", c("n"), c("author_name")),
+        rows(top_one(late), "night_owl", c("n"), c("author_name")),
+        rows(best.where("most_reacted IS NOT NULL").select("most_reacted.*"), "most_reacted", c("score"),
+             c("author_name"), c("text")),
+        rows(best.where("longest IS NOT NULL").select("longest.*"), "longest", c("score"), c("author_name"), c("text")),
         rows(named_edges, "top_pair", c("n"), F.coalesce("src_name", "src"),
              F.coalesce("dst_name", "dst")),
     ]
@@ -239,6 +269,35 @@ def recap(e: DataFrame) -> DataFrame:
     return out
 
 
+def _recap_items(e: DataFrame) -> DataFrame:
+    """``kind, a, b, n, pos``: reactions per emoji and replies per pair, in one pass."""
+    kind = "array<struct<kind:string,a:string,b:string,n:bigint,at:int>>"
+    emoji = F.transform(P.reaction_entries(F.col("blob")), lambda r, i: F.struct(
+        F.lit("emoji").alias("kind"), r["emoji"].alias("a"), F.lit(None).cast("string").alias("b"),
+        r["n"].cast("bigint").alias("n"), i.alias("at")))
+    reply = F.array(F.struct(
+        F.lit("reply").alias("kind"), F.col("author_id").alias("a"), F.col("reply_to").alias("b"),
+        F.lit(1).cast("bigint").alias("n"), F.lit(-1).alias("at")))
+    none = F.array().cast(kind)
+    both = F.concat(F.coalesce(emoji.cast(kind), none), F.when(F.col("reply_to") != "", reply.cast(kind)).otherwise(none))
+    each = e.where("ts IS NOT NULL").select(*ORDER, F.explode(both).alias("i")).select(*ORDER, "i.*")
+    return each.groupBy("kind", "a", "b").agg(F.sum("n").alias("n"), F.min(F.struct(*ORDER, "at")).alias("pos"))
+
+
+def _highlights(e: DataFrame) -> DataFrame:
+    """One row: the most reacted and the longest message, null where there is none."""
+    body = F.when(F.col("text") == "", F.lit("(media)")).otherwise(F.col("text"))
+
+    def best(score: Column, text: Column) -> Column:
+        rank, row = _ranked(score, text, ORDER)
+        return F.max_by(row, F.when(score > 0, rank))
+
+    return _not_system(e).agg(
+        best(P.reaction_total(F.col("parts")), P.snippet(body)).alias("most_reacted"),
+        best(u16len(F.col("text")), P.snippet(F.col("text"))).alias("longest"),
+    )
+
+
 # ── message explorer ────────────────────────────────────────────────────────
 
 

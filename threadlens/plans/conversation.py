@@ -8,6 +8,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.clock import day_edge
 from ..operators import analytics, budget, filters, identity, merge, sequences
@@ -58,20 +59,22 @@ def read_exports(
         heads.append(txt_export.headers(lines))
         bodies.append(txt_export.scan(lines, options.txt_timezone))
     if paths := by_format.get("html"):
-        named = catalog.html_names(listed.where("format = 'html'"))
+        layouts = materialize(html_export.layouts(spark, *paths), "html-layouts")
+        named = catalog.html_names(listed.where("format = 'html'")).join(layouts, "file_id", "left")
+        error = F.when(F.col("marker").isNull(), "No messages found").when(F.col("mixed"), "Mixed markup")
         heads.append(named.select(
             "file_id", "channel_id", "base_name", "after_date",
-            F.lit(None).cast("timestamp").alias("exported_at"),
-            F.lit(False).alias("invalid"), F.lit(None).cast("string").alias("error"),
+            F.lit(None).cast("timestamp").alias("exported_at"), error.isNotNull().alias("invalid"), error.alias("error"),
         ))
-        bare = {_loadable(r["file_id"]) for r in html_export.layouts(spark, *paths).where("bare").collect()}
-        for marker, chosen in (
-            (html_export.GROUP_QUOTED, [p for p in paths if p not in bare]),
-            (html_export.GROUP_BARE, [p for p in paths if p in bare]),
-        ):
-            if chosen:
-                pieces = html_export.read_fragments(spark, *chosen, marker=marker)
-                bodies.append(html_export.scan(pieces, options.txt_timezone))
+        spelled = layouts.where("marker IS NOT NULL AND NOT mixed").groupBy("marker").agg(F.collect_list("file_id").alias("paths"))
+        for r in spelled.collect():
+            pieces = html_export.read_fragments(spark, *map(_loadable, r["paths"]), marker=r["marker"])
+            bodies.append(html_export.scan(pieces, options.txt_timezone))
+    if not heads:
+        raise ValueError(f"no export files below {path}")
+    if not bodies:
+        own = [f for f in RAW_MESSAGE.fields if f.name not in ("channel_id", "file_idx", "grp_file_idx")]
+        bodies.append(spark.createDataFrame([], StructType([StructField("file_id", StringType()), *own])))
     head, body = heads[0], bodies[0]
     for other in heads[1:]:
         head = head.unionByName(other)

@@ -28,13 +28,17 @@ def configure(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession) -> str:
     """Shared folder for intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``.  A temporary folder is
-    used only when nothing is set, which is the case in local tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Where nothing is set, a
+    temporary folder serves a local master; any other raises, as its executors
+    would not see the driver's folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -50,13 +54,3 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = f"{work_dir(spark)}/threadlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def fan_out(df: DataFrame) -> DataFrame:
-    """Spread a small input over all cores before CPU-heavy expressions.
-
-    A table in one file with one row group is read by one task.  Tables with
-    enough splits, which is every large one, are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < 2 * cores else df

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -18,19 +19,28 @@ ROW_MASK = (1 << 33) - 1
 
 
 def list_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Path, name, size and time of every file, without reading contents."""
+    """Path, name, size and time of every file, without reading contents.
+
+    ``key`` is the path below the given root: an upload supersedes another of
+    the same key, and equal names in different folders are different files.
+    """
     m = "_metadata"
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(list(paths))
-        .select(
+
+    def below(root: str) -> DataFrame:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+        return files.select(
             F.col(f"{m}.file_path").alias("file_id"),
-            F.url_decode(F.replace(F.col(f"{m}.file_name"), F.lit("+"), F.lit("%2B"))).alias("name"),
+            _decoded(F.col(f"{m}.file_name")).alias("name"),
+            F.substring_index(_decoded(F.col(f"{m}.file_path")), root.rstrip("/").split(":", 1)[-1] + "/", -1).alias("key"),
             F.col(f"{m}.file_size").alias("size"),
             F.unix_millis(F.col(f"{m}.file_modification_time")).alias("sort_order"),
         )
-    )
+
+    return reduce(DataFrame.unionByName, map(below, paths))
+
+
+def _decoded(path: Column) -> Column:
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def with_format(files: DataFrame) -> DataFrame:
@@ -65,12 +75,12 @@ def html_names(files: DataFrame) -> DataFrame:
 
 
 def latest_uploads(files: DataFrame) -> DataFrame:
-    """Drop repeats and superseded files: the newest of each name stays.
+    """Drop repeats and superseded files: the newest of each key (or name, without keys) stays.
 
-    ``row_number() = 1`` is cut before the shuffle, so a name uploaded very
+    ``row_number() = 1`` is cut before the shuffle, so a file uploaded very
     often does not gather in one task.
     """
-    w = W.partitionBy("name").orderBy(F.desc("sort_order"), F.desc("size"), "file_id")
+    w = W.partitionBy("key" if "key" in files.columns else "name").orderBy(F.desc("sort_order"), F.desc("size"), "file_id")
     return files.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 

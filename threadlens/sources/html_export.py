@@ -19,9 +19,10 @@ from ..functions.clock import parse_title_time, snowflake_to_ts
 from ..functions.parts import media_token, url_file_name
 from .json_export import with_positions
 
-# Markup is escaped in message text, so these cannot occur inside a message.
-GROUP_QUOTED = '<div class="chatlog__message-group"'
-GROUP_BARE = "<div class=chatlog__message-group"
+# Markup is escaped in message text, so a group's opening cannot occur inside a message.
+GROUP = "chatlog__message-group"
+GROUP_OPENING = rf"<div[^<>]*?\b{GROUP}(?=[\s\"'>])"
+GROUP_QUOTED = f'<div class="{GROUP}'
 
 PLACEHOLDERS = ("Click to see original", "Click to see attachment")  # fixed values
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -99,14 +100,14 @@ def _text(node: _Node | None) -> str | None:
     return None if node is None else node.text()
 
 
-def _take_apart(file_id: str, pos: int, fragment: str) -> Iterator[tuple]:
+def _take_apart(file_id: str, fragment: str) -> Iterator[tuple]:
     tree = _Tree()
-    tree.feed('<div class="chatlog__message-group"' + fragment)
+    tree.feed(fragment.partition(">")[2])  # what the opening has left of its attributes
     tree.close()
     group = tree.root
     author = group.one("chatlog__author") or group.one("chatlog__system-notification-author")
     who = author.attrs if author else {}
-    for i, box in enumerate(group.all("chatlog__message-container")):
+    for box in group.all("chatlog__message-container"):
         stamp = box.one(
             "chatlog__timestamp", "chatlog__short-timestamp", "chatlog__system-notification-timestamp"
         )
@@ -127,7 +128,7 @@ def _take_apart(file_id: str, pos: int, fragment: str) -> Iterator[tuple]:
             reacts.append(((img.attrs.get("alt") or "") if img else "?",
                            _text(r.one("chatlog__reaction-count"))))
         yield (
-            file_id, pos + i, _text(author), who.get("data-user-id"), who.get("title"),
+            file_id, _text(author), who.get("data-user-id"), who.get("title"),
             box.attrs.get("data-message-id"), box.attrs.get("id"),
             stamp.attrs.get("title") if stamp else None,
             _text(box.one("chatlog__system-notification-content")),
@@ -144,12 +145,22 @@ MARKUP_COLUMNS = [c.split()[0] for c in MARKUP.replace("struct<video boolean, pr
 
 
 def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Message rows of the groups.
+
+    A group may hold many messages, so positions go on from the last message of
+    the block: never behind the group's own position, and, as a message takes
+    more than a byte, never beyond the start of the next block.
+    """
+    last_file, last_pos, free = None, -1, 0
     for batch in batches:
-        rows = [
-            row
-            for file_id, pos, value in zip(batch["file_id"], batch["pos"], batch["value"])
-            for row in _take_apart(file_id, pos, value)
-        ]
+        rows = []
+        for file_id, pos, value in zip(batch["file_id"], batch["pos"], batch["value"]):
+            if file_id != last_file or pos < last_pos or pos > free:
+                free = pos
+            last_file, last_pos = file_id, pos
+            for _, *rest in _take_apart(file_id, value):
+                rows.append((file_id, free, *rest))
+                free += 1
         out = pd.DataFrame(rows, columns=MARKUP_COLUMNS)
         out["embeds"] = [[dict(zip(("video", "provider", "title"), e)) for e in es] for es in out["embeds"]]
         out["reactions"] = [[dict(zip(("emoji", "n"), r)) for r in rs] for rs in out["reactions"]]
@@ -157,11 +168,18 @@ def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def layouts(spark: SparkSession, *paths: str) -> DataFrame:
-    """``file_id, bare``: which spelling of the group marker a file uses."""
+    """``file_id, marker, mixed``: how a file opens its groups, up to the class name; null without groups.
+
+    The class may stand anywhere in a list, quoted or not.  A file is cut at its
+    own spelling, so one that mixes spellings can't be read.
+    """
     lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file_id"), F.contains("value", F.lit(GROUP_BARE)).alias("bare")
+        F.col("_metadata.file_path").alias("file_id"),
+        F.explode_outer(F.regexp_extract_all("value", F.lit(GROUP_OPENING), F.lit(0))).alias("marker"),
+    )
+    return lines.groupBy("file_id").agg(
+        F.min("marker").alias("marker"), (F.min("marker") != F.max("marker")).alias("mixed")
     )
-    return lines.groupBy("file_id").agg(F.bool_or("bare").alias("bare"))
 
 
 def read_fragments(spark: SparkSession, *paths: str, marker: str = GROUP_QUOTED) -> DataFrame:

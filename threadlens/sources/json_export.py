@@ -1,6 +1,7 @@
 """JSON exports.
 
-An indented export starts every message with a line of four blanks and ``{``.
+An indented export starts every message with four blanks and ``{``, and ends it on
+the same line or with a line of four blanks and ``}``.
 A raw line break cannot occur inside a JSON string, so that line is a safe
 record separator: the text source splits one large file over many tasks at
 message borders.  An export without that layout arrives as one record holding
@@ -62,12 +63,6 @@ def _is_document(value: Column) -> Column:
     return value.rlike(r"^\x{FEFF}?\s*[\{\[]")
 
 
-def parse_documents(docs: DataFrame, value: str = "value") -> DataFrame:
-    """Rows of (file_id, whole document) to ``file_id, pos, m, doc fields``."""
-    doc = F.from_json(F.col(value), f"{JSON_EXPORT}, {CORRUPT} string", PERMISSIVE)
-    return docs.select("file_id", "pos", doc.alias("doc"))
-
-
 def headers(fragments: DataFrame) -> DataFrame:
     """One row per file: channel, base name, dates, ``invalid`` and ``error``.
 
@@ -122,13 +117,26 @@ def headers(fragments: DataFrame) -> DataFrame:
     )
 
 
+def _first_line(value: Column) -> Column:
+    return F.substring_index(value, "\n", 1)
+
+
+def _on_one_line(value: Column) -> Column:
+    """Whether the message ends on the line that it starts on."""
+    return _first_line(value).rlike(r"\}\s*,?\s*$")
+
+
 def _message_text(value: Column) -> Column:
-    return F.concat(F.lit("{"), F.substring_index(value, MESSAGE_END, 1), F.lit("}"))
+    one = F.concat(F.lit("{"), F.regexp_replace(_first_line(value), r",\s*$", ""))
+    many = F.concat(F.lit("{"), F.substring_index(value, MESSAGE_END, 1), F.lit("}"))
+    return F.when(_on_one_line(value), one).otherwise(many)
 
 
 def _after_message(value: Column) -> Column:
     at = F.position(F.lit(MESSAGE_END), value)
-    return F.substring(value, at + len(MESSAGE_END), F.length(value))
+    many = F.substring(value, at + len(MESSAGE_END), F.length(value))
+    one = F.substring(value, F.length(_first_line(value)) + 1, F.length(value))
+    return F.when(_on_one_line(value), one).otherwise(many)
 
 
 def explode_messages(fragments: DataFrame) -> DataFrame:

@@ -268,13 +268,14 @@ def author_blocks(spark, sf_dir):
     return S.author_blocks(event_messages(spark, sf_dir)).select("channel_id", "msg_idx", "grouped", "block_no")
 
 
-# Days with a large order: few enough to leave gaps between active days.
-SPARSE = """sparse AS (SELECT strftime(o_orderdate, '%Y-%m-%d') AS day, count(*) AS n FROM orders WHERE o_totalprice > 450000 GROUP BY 1)"""
+# A day per customer that leaves gaps between active days by itself: squares modulo a prime.
+SPARSE = """sparse AS (SELECT strftime(DATE '2000-01-01' + CAST((c_custkey * c_custkey) % 7919 AS INTEGER), '%Y-%m-%d') AS day, count(*) AS n FROM customer GROUP BY 1)"""
 
 
 def sparse_days(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").where("o_totalprice > 450000")
-    return rows.groupBy(clock.day_key(F.col("o_orderdate")).alias("day")).agg(F.count("*").alias("n"))
+    c = table(spark, sf_dir, "customer")
+    day = F.date_add(F.lit("2000-01-01").cast("date"), (F.col("c_custkey") * F.col("c_custkey") % 7919).cast("int"))
+    return c.groupBy(clock.day_key(day.cast("timestamp")).alias("day")).agg(F.count("*").alias("n"))
 
 
 @query("longest_streak", """

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from threadlens.functions import clock
 from threadlens.operators import budget
-from threadlens.functions.tokens import chars_for_tokens, effective_budget
 from threadlens.plans import conversation
 from threadlens.plans.options import Options
 from threadlens.session import materialize, work_dir
@@ -33,9 +33,9 @@ def query(name, sql=None, ctes=(CHAT,)):
     return add
 
 
-def shown(raw):
+def shown(raw, *more):
     return raw.select(
-        "message_id", "author_key", "author_name", "author_username", clock.millis(F.col("ts")).alias("t_ms"), "is_system",
+        *more, "message_id", "author_key", "author_name", "author_username", clock.millis(F.col("ts")).alias("t_ms"), "is_system",
         "reply_to_key", "reply_to_message_id", "reply_to_name", "reply_snippet",
         F.array_join("parts", "|").alias("parts"), "reactions",
     )
@@ -45,7 +45,7 @@ JSON_SQL = f"""
 SELECT t.mid AS message_id, '9' || t.who AS author_key, 'nick ' || t.who AS author_name, 'user' || t.who AS author_username, t.t_ms, t.role = 'system' AS is_system,
   CASE WHEN t.reply THEN '9' || p.who END AS reply_to_key, CASE WHEN t.reply THEN p.mid END AS reply_to_message_id, CASE WHEN t.reply THEN 'nick ' || p.who END AS reply_to_name,
   CASE WHEN t.reply THEN CASE WHEN length(s) > 80 THEN substr(s, 1, 80) || '…' ELSE s END END AS reply_snippet,
-  trim(t.text, E' \\n\\t') || CASE WHEN t.turn % 5 = 3 THEN '|[IMG: pic' || t.who || '.PNG]' ELSE '' END || CASE WHEN t.turn % 4 = 2 THEN '|[YT: title ' || t.who || ']' ELSE '' END AS parts,
+  trim(t.text, E' \\n\\t') || CASE WHEN t.turn % 7 = 5 THEN '|fwd ' || t.who || '|[IMG: fwd' || t.who || '.png]' ELSE '' END || CASE WHEN t.turn % 5 = 3 THEN '|[IMG: pic' || t.who || '.PNG]' ELSE '' END || CASE WHEN t.turn % 4 = 2 THEN '|[YT: title ' || t.who || ']' ELSE '' END AS parts,
   CASE WHEN t.turn % 4 = 1 THEN '^{{👍:' || t.who || '}}' END AS reactions
 FROM (SELECT *, turn % 3 = 2 AND role <> 'system' AS reply FROM turns) t LEFT JOIN (SELECT *, trim(replace(text, chr(10), ' ')) AS s FROM turns) p ON p.conv_id = t.conv_id AND p.turn = t.turn - 1"""
 
@@ -69,11 +69,12 @@ def json_export_headers(spark, sf_dir):
 
 
 @query("txt_export_scan", """
-SELECT 'nick ' || who AS author_name, (t_ms // 60000) * 60000 AS t_ms, trim(text, E' \\n\\t') || CASE WHEN turn % 5 = 3 THEN '|[IMG: pic ' || who || '.png]' ELSE '' END || CASE WHEN turn % 4 = 3 THEN '|[STICKER]' ELSE '' END AS parts,
+SELECT 'nick ' || who AS author_name, (t_ms // 60000) * 60000 AS t_ms, role = 'system' AND turn % 5 <> 3 AND turn % 4 <> 3 AS is_system,
+  CASE WHEN role = 'system' THEN 'joined the server.' ELSE trim(text, E' \\n\\t') END || CASE WHEN turn % 5 = 3 THEN '|[IMG: pic ' || who || '.png]' ELSE '' END || CASE WHEN turn % 4 = 3 THEN '|[STICKER]' ELSE '' END AS parts,
   CASE WHEN turn % 4 = 1 THEN '^{👍, 🔥}' END AS reactions FROM turns""".replace("\\\\", "\\"))
 def txt_export_scan(spark, sf_dir):
     raw = txt_export.scan(txt_export.read_lines(spark, files.write_txt(spark, sf_dir)))
-    return shown(raw).select("author_name", "t_ms", "parts", "reactions")
+    return shown(raw).select("author_name", "t_ms", "is_system", "parts", "reactions")
 
 
 @query("txt_export_headers", "SELECT DISTINCT 'Guild|cat / ' || channel_id AS channel_id, 'Guild - ' || channel_id AS base_name FROM turns")
@@ -83,13 +84,16 @@ def txt_export_headers(spark, sf_dir):
 
 
 @query("html_export_scan", """
-SELECT mid AS message_id, '9' || who AS author_key, 'nick ' || who AS author_name, 'user' || who AS author_username, t_ms, role = 'system' AS is_system, NULL AS reply_to_key,
+SELECT row_number() OVER (PARTITION BY channel_id ORDER BY min(place) OVER (PARTITION BY conv_id, who), turn) AS position,
+  CASE WHEN turn % 4 = 2 THEN CAST(place + 1 AS VARCHAR) ELSE mid END AS message_id, '9' || who AS author_key, 'nick ' || who AS author_name, 'user' || who AS author_username, CASE WHEN turn % 4 = 2 THEN (t_ms // 60000) * 60000 ELSE t_ms END AS t_ms, role = 'system' AS is_system, NULL AS reply_to_key,
   CASE WHEN turn % 3 = 2 THEN CAST((t_ms - 90000 - 1420070400000) * 4194304 AS VARCHAR) END AS reply_to_message_id, CASE WHEN turn % 3 = 2 THEN 'nick ' || ((who + 4) % 23) END AS reply_to_name,
   CASE WHEN turn % 3 = 2 THEN 'earlier words' END AS reply_snippet,
   CASE WHEN role = 'system' THEN '[' || trim(text, E' \\n\\t') || ']' ELSE trim(text, E' \\n\\t') END || CASE WHEN turn % 5 = 3 THEN '|[GIF: a ' || who || '.gif]' ELSE '' END AS parts,
   CASE WHEN turn % 4 = 1 THEN '^{👍:' || who || '}' END AS reactions FROM turns""".replace("\\\\", "\\"))
 def html_export_scan(spark, sf_dir):
-    return shown(html_export.scan(html_export.read_fragments(spark, files.write_html(spark, sf_dir))))
+    raw = html_export.scan(html_export.read_fragments(spark, files.write_html(spark, sf_dir)))
+    rank = F.row_number().over(Window.partitionBy("file_id").orderBy("msg_idx"))
+    return shown(raw.withColumn("position", rank), "position")
 
 
 @query("export_file_names", """
@@ -263,7 +267,7 @@ CHUNK_SQL = f"""
 WITH RECURSIVE c AS (
   SELECT *, CAST(sum(cost) OVER (PARTITION BY channel_id ORDER BY ts, msg_idx) AS BIGINT) AS upto, row_number() OVER (PARTITION BY channel_id ORDER BY ts, msg_idx) - 1 AS idx, count(*) OVER (PARTITION BY channel_id) AS n
   FROM (SELECT channel_id, ts, msg_idx, CAST({COST} AS BIGINT) AS cost FROM msgs)),
-e AS MATERIALIZED (SELECT a.channel_id, a.idx, a.n, greatest(a.idx + 1, (SELECT count(*) FROM c b WHERE b.channel_id = a.channel_id AND b.upto <= a.upto - a.cost + {chars_for_tokens(effective_budget(4000)) - 200})) AS "end" FROM c a),
+e AS MATERIALIZED (SELECT a.channel_id, a.idx, a.n, greatest(a.idx + 1, (SELECT count(*) FROM c b WHERE b.channel_id = a.channel_id AND b.upto <= a.upto - a.cost + CAST(floor(floor(1000 + (4000 - 1000) * 0.85 + 0.5) * 2.6 + 0.5) AS BIGINT) - 200)) AS "end" FROM c a),
 walk(channel_id, chunk, start, "end", n) AS (
   SELECT channel_id, 1, idx, "end", n FROM e WHERE idx = 0
   UNION ALL

@@ -48,6 +48,7 @@ def write_json(spark, sf_dir, indented: bool = True) -> str:
         F.when(turn % 4 == 2, F.array(F.struct(text("title ", w).alias("title"), F.lit("https://youtu.be/x").alias("url")))).alias("embeds"),
         F.when(turn % 4 == 1, F.array(F.struct(F.struct(F.lit("👍").alias("name")).alias("emoji"), F.col("who").alias("count")))).alias("reactions"),
         F.when(turn % 3 == 2, F.struct(_mid_of(F.col("t_ms") - 90000).alias("messageId"))).alias("reference"),
+        F.when(turn % 7 == 5, F.struct(text("fwd ", w).alias("content"), F.array(F.struct(text("fwd", w, ".png").alias("fileName"))).alias("attachments"))).alias("forwardedMessage"),
     )
     inner = F.to_json(message)
     if indented:
@@ -67,7 +68,7 @@ def write_txt(spark, sf_dir) -> str:
     rule = "=" * 62
     stamp = F.date_format(F.timestamp_millis("t_ms"), "M/d/yyyy h:mm a")
     piece = F.concat(
-        text("[", stamp, "] nick ", w, "\n", F.col("text"), "\n"),
+        text("[", stamp, "] nick ", w, "\n", F.when(F.col("role") == "system", "joined the server.").otherwise(F.col("text")), "\n"),
         F.when(turn % 5 == 3, text("\n{Attachments}\nhttps://cdn.example/a/pic%20", w, ".png\n")).otherwise(F.lit("")),
         F.when(turn % 4 == 1, F.lit("\n{Reactions}\n👍\n🔥\n")).otherwise(F.lit("")),
         F.when(turn % 4 == 2, F.lit("\n{Embed}\nsome title\n\n")).otherwise(F.lit("")),
@@ -93,10 +94,16 @@ def write_html(spark, sf_dir) -> str:
         text('<span class="chatlog__markdown-preserve">', escape_html(F.col("text")), "</span>"))
     attach = F.when(turn % 5 == 3, text('<a class="chatlog__attachment" href="https://cdn.example/a%20', w, '.gif?x=1"><img src="t.png"></a>')).otherwise(blank)
     react = F.when(turn % 4 == 1, text('<div class="chatlog__reactions"><div class="chatlog__reaction"><img alt="👍"><span class="chatlog__reaction-count">', w, "</span></div></div>")).otherwise(blank)
-    piece = F.concat(
-        text('<div class="chatlog__message-group"><div class="chatlog__message-container" data-message-id="', F.col("mid"), '">'),
-        author, reply, body, attach, react, F.lit("</div></div>"),
-    )
+    # Turns of one author in a conversation form a group; some messages have an id without a time and a title in minutes.
+    timeless = turn % 4 == 2
+    stamp = F.date_format(F.timestamp_millis("t_ms"), "EEEE, MMMM d, y h:mm a")
+    ident = F.when(timeless, text('id="message-', (F.col("place") + 1).cast("string"), '">', '<span class="chatlog__timestamp" title="', stamp, '"></span>')).otherwise(
+        text('data-message-id="', F.col("mid"), '">'))
+    message = text('<div class="chatlog__message-container" ', ident, reply, body, attach, react, "</div>")
+    ordered = F.array_sort(F.collect_list(F.struct("turn", message.alias("t"))))
+    t = t.groupBy("channel_id", "conv_id", "who").agg(
+        F.min("place").alias("place"), F.first(author).alias("author"), F.array_join(F.transform(ordered, lambda m: m["t"]), "").alias("inner"))
+    piece = text('<div class="chatlog__message-group">', F.col("author"), F.col("inner"), "</div>")
     head = text("<!DOCTYPE html><html><head><style>.chatlog__message-group{margin:0}</style></head><body><div class=\"chatlog\">\n")
     return _write(_per_channel(t, piece, "\n", head, F.lit("\n</div></body></html>")), "html-export")
 

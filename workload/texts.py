@@ -31,7 +31,7 @@ PHONE = r"(\+?[0-9]{1,3}[\s-]?)?\(?[0-9]{3}\)?[\s.-]?[0-9]{3}[\s.-]?[0-9]{4}"
 def redact_sql(col, stop=r"\s"):
     return (
         f"regexp_replace(regexp_replace(regexp_replace({col}, 'https?://[^{stop}]+', '[URL]', 'g'),"
-        f" '{redact.EMAIL}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')"
+        f" '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{{2,}}', '[EMAIL]', 'g'), '{PHONE}', '[PHONE]', 'g')"
     )
 
 
@@ -115,9 +115,9 @@ def text_sizes(spark, sf_dir):
 
 
 @query("message_cost", f"""
-SELECT msg_idx, CAST(14 + list_sum(list_transform(parts, lambda p: {U16.format('p')} + 3)) AS BIGINT) AS cost FROM msgs WHERE len(parts) > 0""", (EVENT_BODY,))
+SELECT msg_idx, CAST(14 + coalesce(list_sum(list_transform(parts, lambda p: {U16.format('p')} + 3)), 0) AS BIGINT) AS cost FROM msgs""", (EVENT_BODY,))
 def message_cost(spark, sf_dir):
-    m = event_messages(spark, sf_dir).where(F.size("parts") > 0)
+    m = event_messages(spark, sf_dir)
     return m.select("msg_idx", tokens.message_cost(F.col("parts")).alias("cost"))
 
 
@@ -239,9 +239,9 @@ def reaction_readings(spark, sf_dir):
 SELECT msg_idx, CASE WHEN r THEN regexp_replace(parts[1], '^>\s*', '') END AS reply,
   array_to_string(list_filter(list_transform(list_filter(rest, lambda p: NOT starts_with(p, '^')), lambda p: regexp_replace(p, '\s*(\^\{[^}]*\})\s*$', '')), lambda p: p <> ''), '|') AS lines,
   array_to_string(list_transform(list_filter(rest, lambda p: regexp_matches(p, '\^\{[^}]*\}\s*$')), lambda p: substr(regexp_extract(p, '(\^\{[^}]*\})\s*$', 1), 2)), '|') AS reactions
-FROM (SELECT *, has_reply AND starts_with(parts[1], '>') AS r, CASE WHEN has_reply AND starts_with(parts[1], '>') THEN parts[2:] ELSE parts END AS rest FROM msgs WHERE len(parts) > 0)""", (EVENT_BODY,))
+FROM (SELECT *, has_reply AND starts_with(parts[1], '>') AS r, CASE WHEN has_reply AND starts_with(parts[1], '>') THEN parts[2:] ELSE parts END AS rest FROM msgs)""", (EVENT_BODY,))
 def display_parts(spark, sf_dir):
-    m = event_messages(spark, sf_dir).where(F.size("parts") > 0)
+    m = event_messages(spark, sf_dir)
     s = P.split_parts(F.col("parts"), F.col("has_reply"))
     m = m.select("msg_idx", s.alias("s"))
     return m.select("msg_idx", "s.reply", F.array_join("s.lines", "|").alias("lines"), F.array_join("s.reactions", "|").alias("reactions"))
