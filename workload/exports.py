@@ -84,12 +84,12 @@ def txt_export_headers(spark, sf_dir):
 
 
 @query("html_export_scan", """
-SELECT row_number() OVER (PARTITION BY channel_id ORDER BY min(place) OVER (PARTITION BY conv_id, who), turn) AS position,
+SELECT row_number() OVER (PARTITION BY channel_id ORDER BY first_place, turn) AS position,
   CASE WHEN turn % 4 = 2 THEN CAST(place + 1 AS VARCHAR) ELSE mid END AS message_id, '9' || who AS author_key, 'nick ' || who AS author_name, 'user' || who AS author_username, CASE WHEN turn % 4 = 2 THEN (t_ms // 60000) * 60000 ELSE t_ms END AS t_ms, role = 'system' AS is_system, NULL AS reply_to_key,
   CASE WHEN turn % 3 = 2 THEN CAST((t_ms - 90000 - 1420070400000) * 4194304 AS VARCHAR) END AS reply_to_message_id, CASE WHEN turn % 3 = 2 THEN 'nick ' || ((who + 4) % 23) END AS reply_to_name,
   CASE WHEN turn % 3 = 2 THEN 'earlier words' END AS reply_snippet,
   CASE WHEN role = 'system' THEN '[' || trim(text, E' \\n\\t') || ']' ELSE trim(text, E' \\n\\t') END || CASE WHEN turn % 5 = 3 THEN '|[GIF: a ' || who || '.gif]' ELSE '' END AS parts,
-  CASE WHEN turn % 4 = 1 THEN '^{👍:' || who || '}' END AS reactions FROM turns""".replace("\\\\", "\\"))
+  CASE WHEN turn % 4 = 1 THEN '^{👍:' || who || '}' END AS reactions FROM (SELECT *, min(place) OVER (PARTITION BY conv_id, who) AS first_place FROM turns)""".replace("\\\\", "\\"))
 def html_export_scan(spark, sf_dir):
     raw = html_export.scan(html_export.read_fragments(spark, files.write_html(spark, sf_dir)))
     rank = F.row_number().over(Window.partitionBy("file_id").orderBy("msg_idx"))
