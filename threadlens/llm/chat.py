@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 TURN, END = "<|turn|>", "<|end|>"
 CONTROL = re.compile(r"([<\[])(\\*)((?:/?s>)|(?:/?INST\])|(?:<SYS>>)|(?:</SYS>>)|(?:\|\w+\|>))")
 ESCAPED = re.compile(r"([<\[])\\(\\*)((?:/?s>)|(?:/?INST\])|(?:<SYS>>)|(?:</SYS>>)|(?:\|\w+\|>))")
@@ -153,7 +155,7 @@ def format_turns(turns: DataFrame, id: str = "conv_id", order: str = "turn", rol
                 names=schema.names,
             )
 
-    return source.mapInArrow(made, schema)
+    return small_batches(source).mapInArrow(made, schema)
 
 
 def text_parts(text: F.Column) -> F.Column:
@@ -223,4 +225,4 @@ def digests(formatted: DataFrame, id: str = "conv_id", order: str = "turn") -> D
         if now is not None:
             yield rows([now], kind)
 
-    return ordered.mapInArrow(streamed, schema)
+    return small_batches(ordered).mapInArrow(streamed, schema)

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from threadlens.session import materialize
 
 CHUNK_CHARS = 1 << 20
+BATCH_BYTES = 4 << 20
 BROADCAST_ROWS = 1_000_000
 
 
@@ -23,15 +26,20 @@ def text_chunks(
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Cut record batches into slices of about ``chars`` characters; a null text reads as empty."""
     for batch in batches:
-        texts = [t or "" for t in batch.column(column).to_pylist()]
-        start = size = 0
-        for i, t in enumerate(texts):
-            size += len(t) + 1
-            if size >= chars:
-                yield batch.slice(start, i + 1 - start), texts[start : i + 1]
-                start, size = i + 1, 0
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+        sizes = pc.fill_null(pc.utf8_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        begin = 0
+        while begin < batch.num_rows:
+            size = np.cumsum(sizes[begin:] + 1)
+            end = begin + min(int(np.searchsorted(size, chars)) + 1, len(size))
+            part = batch.slice(begin, end - begin)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
+            begin = end
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, which may hold very long texts, to be sent to Python in batches bounded by bytes."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
 
 
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from threadlens.session import materialize
 
 from . import words
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 SIZE = 5
 SHARE = 0.8
@@ -57,7 +57,7 @@ def item_shingles(items: DataFrame, size: int) -> DataFrame:
 
     source = items.where(F.col("item").isNotNull())
     schema = T.StructType([source.schema["item"], T.StructField("shingle", T.LongType()), T.StructField("words", T.StringType())])
-    return source.mapInArrow(made, schema).distinct()
+    return small_batches(source).mapInArrow(made, schema).distinct()
 
 
 def shingle_text(w: words.Words, first: int, size: int) -> str:
@@ -160,7 +160,7 @@ def find(docs: DataFrame, items: DataFrame, size: int = SIZE, share: float = SHA
                          pa.array(n), pa.array(of), pa.array(n / of)], names=schema.names,
                     )
 
-        return source.mapInArrow(scan, schema)
+        return small_batches(source).mapInArrow(scan, schema)
 
     sent = blocks_of(items, size)
     if not sent:
@@ -180,6 +180,6 @@ def clean(docs: DataFrame, items: DataFrame, size: int = SIZE, share: float = SH
                 stays[[r[0] for r in contained(sketches, texts, size)]] = False
                 yield batch.filter(pa.array(stays))
 
-        return rows.mapInArrow(scan, rows.schema)
+        return small_batches(rows).mapInArrow(scan, rows.schema)
 
     return reduce(without, blocks_of(items, size), docs)

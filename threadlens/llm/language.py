@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import words
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 GRAMS = 1 << 16
 SWITCH = 8.0
@@ -105,7 +105,7 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
 
     rows = docs.select(F.col(text).alias("text"), F.col(lang).alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     # At most GRAMS + scripts rows per language reach the driver, whatever the size of the corpus.
-    counts = rows.mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    counts = small_batches(rows).mapInArrow(counted, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     names = np.asarray(counts.column("lang").to_pylist(), object)
     languages = sorted(set(names.tolist()))
     table = np.zeros((GRAMS + len(NAMES), len(languages)))
@@ -199,7 +199,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             )
 
     schema = T.StructType([*rest, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select(*(f.name for f in rest), text).mapInArrow(made, schema)
+    return small_batches(docs.select(*(f.name for f in rest), text)).mapInArrow(made, schema)
 
 
 def spans(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -223,4 +223,4 @@ def spans(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text")
             )
 
     schema = T.StructType([source.schema[id], *(T.StructField(n, T.LongType()) for n in ("start", "end")), T.StructField("lang", T.StringType())])
-    return source.mapInArrow(made, schema)
+    return small_batches(source).mapInArrow(made, schema)

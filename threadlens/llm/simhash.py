@@ -32,7 +32,7 @@ from pyspark.sql import types as T
 
 from threadlens.session import materialize
 
-from .common import BROADCAST_ROWS, bounded, components, named_components, text_chunks
+from .common import BROADCAST_ROWS, bounded, components, named_components, small_batches, text_chunks
 
 SEED = 42
 FAN = 16
@@ -101,7 +101,7 @@ def fingerprints(docs: DataFrame, text: str = "text", size: int = 3, out: str =
                 [*(batch.column(n) for n in names), pa.array(fp.view(np.int64))], names=[*names, out]
             )
 
-    return docs.select(*names, text).mapInArrow(made, T.StructType([*rest, T.StructField(out, T.LongType())]))
+    return small_batches(docs.select(*names, text)).mapInArrow(made, T.StructType([*rest, T.StructField(out, T.LongType())]))
 
 
 # ------------------------------------------------------------------- the index
@@ -416,7 +416,7 @@ def similar_texts(
 
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
     schema = T.StructType([source.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
-    rows = materialize(source.mapInArrow(made, schema), "long-fingerprints")
+    rows = materialize(small_batches(source).mapInArrow(made, schema), "long-fingerprints")
     distinct = materialize(rows.groupBy("text_hash").agg(F.any_value("words").alias("words")), "distinct-texts")
     cut = distinct.select("text_hash", "words", F.posexplode("words").alias("at", "turned")).select(
         F.col("at").cast("string").alias("path"), "turned", "text_hash", "words"
@@ -481,7 +481,7 @@ def verified(edges: DataFrame, source: DataFrame, size: int, similarity: float)
             )
 
     held = (
-        source.join(bounded(ends, BROADCAST_ROWS), "text_hash").select("text_hash", "text")
+        small_batches(source.join(bounded(ends, BROADCAST_ROWS), "text_hash").select("text_hash", "text"))
         .mapInArrow(sets, "text_hash long, shingles array<long>")
         .groupBy("text_hash").agg(F.any_value("shingles").alias("shingles"))
     )

@@ -16,7 +16,9 @@ part sizes gives the ids before a part.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,100 +27,114 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 BLOCK = 256
 SEGMENT = 1 << 18
 #: Fixed values of the code: ids per word and bits per id by selector; selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 250_000
 
 
 # ------------------------------------------------------------------- the code
 
 
+SHORT_BITS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
+#: How the largest width among the next n ids follows from two shorter windows that cover n.
+WINDOWS = {2: (1, 1), 3: (2, 1), 4: (2, 2), 5: (4, 1), 6: (4, 2), 7: (4, 3), 8: (4, 4), 10: (8, 2), 12: (8, 4), 15: (8, 7),
+           20: (12, 8), 30: (15, 15), 60: (30, 30)}
+
+
 def bit_lengths(ids: np.ndarray) -> np.ndarray:
     """Bits of every id (0 for 0)."""
-    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    if not len(ids) or ids.max() < 1 << 16:
+        return SHORT_BITS[ids]
     high = ids >> np.uint64(32)
-    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low)
+    low = np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]
+    return np.where(high > 0, np.frexp(high.astype(np.float64))[1] + 32, low).astype(np.uint8)
 
 
 def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """(words, word offset of every block) of unsigned ids.
 
-    For each selector the longest run of fitting ids is known at every place
-    from the next id that is too wide.  Then all blocks advance in step: each
-    takes the selector that covers the most ids from where it stands.
+    The largest width among the next n ids is known at every place for each
+    selector's n, so the selector that covers the most ids is too.  Then all
+    blocks advance in step from word to word.  What lies beyond a block's end
+    counts as 0 bits, so its last word may be part full.
     """
     ids = ids.astype(np.uint64)
     n = len(ids)
     if not n:
         return np.empty(0, np.uint64), np.empty(0, np.int32)
-    bits = bit_lengths(ids)
-    place = np.arange(n, dtype=np.int32)
-    stop = np.minimum((place // block + 1) * block, n).astype(np.int32)
-    choice, taken = np.zeros(n, np.int8), np.ones(n, np.int32)
-    open_ = np.ones(n, bool)
-    for selector in range(1, len(COUNTS)):
-        wide = bits > WIDTHS[selector]
-        if wide.all():
-            continue
-        bad = np.where(wide, place, n).astype(np.int32)
-        bad = np.minimum.accumulate(bad[::-1])[::-1]
-        run = np.minimum(bad, stop) - place
-        fits = open_ & ((run >= COUNTS[selector]) | ((place + run == stop) & (run > 0)))
-        choice[fits] = selector
-        taken[fits] = np.minimum(COUNTS[selector], run[fits])
-        open_ &= ~fits
+    blocks = -(-n // block)
+    ahead = int(COUNTS.max())
+    widest = {1: np.zeros((blocks, block + ahead), np.uint8)}
+    filled = np.zeros(blocks * block, np.uint8)
+    filled[:n] = bit_lengths(ids)
+    widest[1][:, :block] = filled.reshape(blocks, block)
+    for size, (first, second) in WINDOWS.items():
+        reach = widest[1].shape[1] - size + 1
+        widest[size] = np.maximum(widest[first][:, :reach], widest[second][:, first : first + reach])
+    choice = np.zeros((blocks, block), np.uint8)
+    for selector in range(len(COUNTS) - 1, 0, -1):
+        choice[widest[COUNTS[selector]][:, :block] <= WIDTHS[selector]] = selector
+    choice = choice.ravel()
     at = np.arange(0, n, block, dtype=np.int64)
     end = np.minimum(at + block, n)
-    heads, owners = [], []
+    heads = []
     live = np.arange(len(at))
     while len(live):
-        heads.append(at[live])
-        owners.append(live)
-        at[live] += taken[at[live]]
+        now = at[live]
+        heads.append(now)
+        at[live] = now + COUNTS[choice[now]]
         live = live[at[live] < end[live]]
     head = np.sort(np.concatenate(heads))
-    selector = choice[head].astype(np.int64)
-    size = np.where(selector == 0, 2, 1)
-    offset = np.cumsum(size) - size
-    words = np.zeros(int(size.sum()), np.uint64)
-    words[offset] = selector.astype(np.uint64) << np.uint64(60)
-    escaped = selector == 0
-    words[offset[escaped] + 1] = ids[head[escaped]]
-    count, width = taken[head], WIDTHS[selector]
-    for k in range(int(count.max())):
-        more = (count > k) & ~escaped
-        words[offset[more]] |= ids[head[more] + k] << (width[more] * k).astype(np.uint64)
-    starts = offset[np.searchsorted(head, np.arange(0, n, block))]
-    return words, starts.astype(np.int32)
+    selector = choice[head]
+    taken = np.diff(head, append=n)
+    offset = np.arange(len(head)) + np.cumsum(selector == 0) - (selector == 0)
+    words = np.zeros(len(head) + int((selector == 0).sum()), np.uint64)
+    shift = (np.arange(n) - np.repeat(head, taken)) * np.repeat(np.where(selector == 0, 0, WIDTHS[selector]), taken)
+    words[offset] = np.bitwise_or.reduceat(ids << shift.astype(np.uint64), head)
+    escaped = offset[selector == 0]
+    words[escaped + 1] = words[escaped]
+    words[escaped] = 0
+    words[offset] |= selector.astype(np.uint64) << np.uint64(60)
+    return words, offset[np.searchsorted(head, np.arange(0, n, block))].astype(np.int32)
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -> np.ndarray:
-    """The ids; all blocks advance in step from their own offsets."""
-    out = np.zeros(n, np.uint64)
-    at = offsets.astype(np.int64)
-    place = np.arange(len(at), dtype=np.int64) * block
-    end = np.minimum(place + block, n)
-    live = np.arange(len(at))
-    while len(live):
-        word = words[at[live]]
-        selector = (word >> np.uint64(60)).astype(np.int64)
-        escaped = selector == 0
-        out[place[live[escaped]]] = words[at[live[escaped]] + 1]
-        count = np.minimum(COUNTS[selector], end[live] - place[live])
-        width = WIDTHS[selector]
-        for k in range(int(count[~escaped].max(initial=0))):
-            more = (count > k) & ~escaped
-            w = width[more].astype(np.uint64)
-            out[place[live[more]] + k] = (word[more] >> (w * np.uint64(k))) & ((np.uint64(1) << w) - np.uint64(1))
-        at[live] += np.where(escaped, 2, 1)
-        place[live] += count
-        live = live[place[live] < end[live]]
-    return out
+    """The ids; every block is read from its own offset, all at once.
+
+    A word after an escape is an id as it is; whether a word is one follows, for
+    all blocks in step, from the words before it in the block.
+    """
+    if not n:
+        return np.empty(0, np.uint64)
+    selector = (words >> np.uint64(60)).astype(np.int64)
+    raw = np.zeros(len(words), bool)
+    if (selector == 0).any():
+        end = np.append(offsets[1:], len(words))
+        at = offsets.astype(np.int64)
+        live = np.arange(len(at))
+        while len(live):
+            escape = selector[at[live]] == 0
+            raw[at[live[escape]] + 1] = True
+            at[live] += np.where(escape, 2, 1)
+            live = live[at[live] < end[live]]
+    place = np.flatnonzero(~raw)
+    kind = selector[place]
+    count = COUNTS[kind]
+    first = np.searchsorted(place, offsets)
+    last = np.append(first[1:], len(place)) - 1
+    held = np.add.reduceat(count, first)
+    count[last] -= held - np.minimum(block, n - np.arange(len(offsets)) * block)
+    begin = np.cumsum(count) - count
+    width = np.where(kind == 0, 0, WIDTHS[kind])
+    value = np.where(kind == 0, words[np.minimum(place + 1, len(words) - 1)], words[place])
+    mask = np.where(kind == 0, ~np.uint64(0), (np.uint64(1) << width.astype(np.uint64)) - np.uint64(1))
+    shift = (np.arange(n) - np.repeat(begin, count)) * np.repeat(width, count)
+    return (np.repeat(value, count) >> shift.astype(np.uint64)) & np.repeat(mask, count)
 
 
 # ---------------------------------------------------------------- tokenization
@@ -135,15 +151,30 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        # Byte-level vocabularies write a byte as its character if it can be seen, else as the next free one from 256.
+        seen = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
+        self.bytes = seen | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
         self.marks = {m: self.encode([m])[0] for m in ".,"}
 
     def encode(self, pieces: list[str]) -> list[bytes]:
-        made = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in made]
+        """Ids of pieces; words of lower-case Latin letters go straight to the tokenizer's model, the rest takes all its steps.
+
+        Such a word is in normal form and one pre-token, so only the mapping of
+        its bytes to characters is left to do.
+        """
+        plain = [p.isalpha() and p.islower() and (p.isascii() or max(p) < "ɐ") for p in pieces]
+        rest = iter(self.tokenizer.encode_batch_fast([p for p, direct in zip(pieces, plain, strict=True) if not direct], add_special_tokens=False))
+        tokenize, table = self.tokenizer.model.tokenize, self.bytes
+        return [
+            array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(table))]
+                  if direct else next(rest).ids).tobytes()
+            for p, direct in zip(pieces, plain, strict=True)
+        ]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
@@ -173,9 +204,9 @@ class Encoder:
     def encode_all(self, pieces: list[str]) -> list[bytes]:
         """Ids of distinct pieces; many differ by their last mark alone."""
         stems = [p[:-1] if p[-1:] in self.marks and "a" <= p[-2:-1] < "ɐ" and p[-2].isalpha() else p for p in pieces]
-        distinct = list(dict.fromkeys(stems))
-        ids = dict(zip(distinct, self.encode(distinct), strict=True))
-        return [ids[s] if s is p else ids[s] + self.marks[p[-1]] for s, p in zip(stems, pieces, strict=True)]
+        distinct = [s for s in dict.fromkeys(stems) if s not in self.known]
+        self.known.update(zip(distinct, self.encode(distinct), strict=True))
+        return [self.known[s] if s is p else self.known[s] + self.marks[p[-1]] for s, p in zip(stems, pieces, strict=True)]
 
 
 # ----------------------------------------------------------------------- files
@@ -218,7 +249,7 @@ def write(
             )
             segment, start = segment + 1, start + len(flat)
 
-    ordered.mapInArrow(packed, SEGMENTS.format(id=kind)).write.mode("overwrite").parquet(path)
+    small_batches(ordered).mapInArrow(packed, SEGMENTS.format(id=kind)).write.mode("overwrite").parquet(path)
 
 
 def segments_of(coded: Iterable[tuple[list, list[bytes]]]) -> Iterator[tuple[list, list[bytes]]]:
@@ -265,7 +296,7 @@ def read(spark: SparkSession, path: str, id: str = "doc_id") -> DataFrame:
                     ["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    found = based.mapInArrow(decoded, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
+    found = small_batches(based).mapInArrow(decoded, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long")
     return found.withColumnRenamed("doc_id", id)
 
 
@@ -283,4 +314,4 @@ def read_ids(spark: SparkSession, path: str) -> DataFrame:
                     [pa.array(row["doc_ids"], batch.schema.field("doc_ids").type.value_type), lists], ["doc_id", "ids"]
                 )
 
-    return rows.mapInArrow(decoded, f"doc_id {kind}, ids array<long>")
+    return small_batches(rows).mapInArrow(decoded, f"doc_id {kind}, ids array<long>")

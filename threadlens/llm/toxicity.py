@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from threadlens.session import materialize
 
 from . import words
-from .common import text_chunks
+from .common import small_batches, text_chunks
 
 BUCKET_BITS = 20
 PREFIXES = (4, 5, 6)
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_rows: int = MAX_
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
         return Machine([], 30.0 if n1 else -30.0, [], [])
-    counts = sample.select("text", "label").mapInArrow(count_terms, "bucket long, n0 long, n1 long")
+    counts = small_batches(sample.select("text", "label")).mapInArrow(count_terms, "bucket long, n0 long, n1 long")
     all_n = n0 + n1
     both = F.col("n0") + F.col("n1")
     z = (F.col("n1") / n1 - F.col("n0") / n0) / F.sqrt(both / all_n * (1 - both / all_n + 1e-9) * (1 / n0 + 1 / n1))
@@ -184,7 +184,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: Column, max_rows: int = MAX_
 
     schema = f"doc_id {dict(sample.dtypes)['doc_id']}, label int, terms array<int>"
     model = (
-        sample.mapInArrow(terms_of, schema)
+        small_batches(sample).mapInArrow(terms_of, schema)
         .orderBy(F.xxhash64("doc_id"), "doc_id", "label", "terms").limit(max_rows)
         .coalesce(1).mapInArrow(fitted, "bias double, weights array<double>, vectors array<array<double>>")
         .first()
@@ -215,4 +215,4 @@ def score(docs: DataFrame, machine: Machine, text: str = "text", out: str = "sco
             value = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(value)], names=[*batch.schema.names, out])
 
-    return rest.mapInArrow(scored, T.StructType([*rest.schema.fields, T.StructField(out, T.DoubleType())]))
+    return small_batches(rest).mapInArrow(scored, T.StructType([*rest.schema.fields, T.StructField(out, T.DoubleType())]))
