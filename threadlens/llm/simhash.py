@@ -426,7 +426,7 @@ def similar_texts(
     def near(batches):
         for table in grouped_batches(batches, 1 << 14):
             turned = table.column("turned").to_numpy().view(np.uint64)
-            words = table.column("words").combine_chunks().values.to_numpy().view(np.uint64).reshape(-1, count)
+            words = table.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, count)
             fixed = table.column("fixed")[0].as_py()
             exact = np.uint64(((1 << fixed) - 1) << (bits - fixed))
             a, b = near_forest(turned, words, radius, exact, farthest)
