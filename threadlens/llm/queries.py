@@ -104,5 +104,7 @@ QUERIES = {
 
 SQL = {
     name: (Path(__file__).parent / "sql" / f"{name}.sql").read_text()
-    for name in ("op5_benchmark_decontamination", "op10_source_mixing")
+    for name in (
+        "op4_embedding_near_dedup", "op5_benchmark_decontamination", "op7_line_dedup", "op8_chat_formatting", "op10_source_mixing",
+    )
 }
