@@ -229,7 +229,10 @@ def reply_network_edges(spark, sf_dir):
     return net.withColumn("weight", F.round("weight", 6)).withColumn("w", F.round("w", 6))
 
 
-@query("reply_network_nodes", "SELECT uid, author_name, messages FROM shown WHERE uid IN (SELECT a FROM net UNION SELECT b FROM net)", NET_CTES)
+@query("reply_network_nodes", """
+SELECT uid, author_name, messages, rank FROM shown JOIN (
+  SELECT author_id, row_number() OVER (ORDER BY count(*) DESC, min((ts, msg_idx))) - 1 AS rank FROM enr GROUP BY 1) ON author_id = uid
+WHERE uid IN (SELECT a FROM net UNION SELECT b FROM net)""", NET_CTES)
 def reply_network_nodes(spark, sf_dir):
     return graph.network_nodes(*users_and_edges(spark, sf_dir))
 
