@@ -42,6 +42,7 @@ HEADLINE = (
     "txt_layout",
     "html_transcript",
     "newest_first_fill",
+    "budget_trim",
     "chunk_bounds",
 )
 

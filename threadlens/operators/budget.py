@@ -65,34 +65,40 @@ class Trimmed:
     report: DataFrame
 
 
+def rank_newest(msgs: DataFrame, priority: Column, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """Adds ``priority``, ``from_newest`` (rank among normal messages, 1 = newest) and ``n_normal``.
+
+    A running count per channel, so ties and very large channels are treated as in every ordered window.
+    """
+    rows = msgs.withColumn("priority", priority)
+    normal = ~F.col("priority")
+    totals = rows.groupBy("channel_id").agg(F.count_if(normal).alias("n_normal"))
+    o = slice_groups(rows, ["channel_id"], ORDER, max_rows)
+    o = running_sum(o, F.when(normal, F.lit(1)).otherwise(F.lit(0)).cast("bigint"), "__seen")
+    df = o.result().join(totals, "channel_id")
+    return df.withColumn("from_newest", F.when(normal, F.col("n_normal") - F.col("__seen") + 1)).drop("__seen")
+
+
 def fill_newest(
     msgs: DataFrame, priority: Column, reserve: int, max_chars: int, max_rows: int = MAX_GROUP_ROWS
 ) -> DataFrame:
     """Greedy fill from the newest normal message back to the first overflow.
 
-    Adds ``priority``, ``cost``, ``from_newest`` (rank among normal messages,
-    1 = newest), ``n_normal`` and ``in_fill``.  Every cost is positive, so the
-    fill is the set of messages whose suffix sum still fits.
+    Adds the columns of ``rank_newest``, ``cost`` and ``in_fill``.  Every cost is
+    positive, so the fill is the set of messages whose suffix sum still fits.
     """
-    rows = msgs.withColumn("priority", priority).withColumn("cost", message_cost(F.col("parts")))
+    rows = rank_newest(msgs, priority, max_rows).withColumn("cost", message_cost(F.col("parts")))
     normal = ~F.col("priority")
     totals = rows.groupBy("channel_id").agg(
-        F.count_if(normal).alias("n_normal"),
         F.coalesce(F.sum(F.when(normal, F.col("cost"))), F.lit(0)).alias("__normal_cost"),
         F.coalesce(F.sum(F.when(~normal, F.col("cost"))), F.lit(0)).alias("__fixed"),
     )
     o = slice_groups(rows, ["channel_id"], ORDER, max_rows)
-    one = F.when(normal, F.lit(1)).otherwise(F.lit(0)).cast("bigint")
-    o = running_sum(o, one, "__seen")
     o = running_sum(o, F.when(normal, F.col("cost")).otherwise(F.lit(0)), "__spent")
     df = o.result().join(totals, "channel_id")
     suffix = F.col("__normal_cost") - F.col("__spent") + F.col("cost")
     fits = F.lit(reserve) + F.col("__fixed") + suffix <= F.lit(max_chars)
-    return (
-        df.withColumn("from_newest", F.when(normal, F.col("n_normal") - F.col("__seen") + 1))
-        .withColumn("in_fill", F.col("priority") | fits)
-        .drop("__normal_cost", "__fixed", "__seen", "__spent")
-    )
+    return df.withColumn("in_fill", F.col("priority") | fits).drop("__normal_cost", "__fixed", "__spent")
 
 
 def _sizes(measure: Measure) -> dict[str, Column]:
@@ -203,7 +209,7 @@ def _candidates() -> Column:
 
     both_ends = F.array(F.lit(0).cast("bigint"), n)
     pick = (
-        F.when((lo < 0) | (hi > n), F.concat(around(F.col("guess"), (-3, -1, 0, 1, 3)), both_ends))
+        F.when((lo < 0) | (hi > n), F.concat(around(F.col("guess"), (-2, -1, 0, 1, 2)), both_ends))
         .when(mid.isNull(), even)
         .otherwise(F.concat(around(mid, (-6, -2, 0, 1, 2, 6)), even))
     )
@@ -235,12 +241,10 @@ def trim(
         measure = Measure.chars(max_chars)
         shown_limit = int(max_chars / 4 + 0.5)
     options = D.RenderOptions(max_tokens=shown_limit)
-    reserve = legend_reserve(people.count())
-    fill_chars = max_chars or chars_for_tokens(max_tokens)
-    filled = fill_newest(msgs, matches_keywords(F.col("parts"), keywords), reserve, fill_chars, max_rows)
-    sized = filled.withColumns(_sizes(measure))
-    rows = narrow(sized, "priority", "from_newest", "n_normal", "in_fill", "own_size", "glued_size")
-    rows = materialize(rows, "trim-rows")
+    # The bodies are sized before the ordered window, which then sorts narrow rows only.
+    sized = msgs.withColumns(_sizes(measure)).withColumn("priority", matches_keywords(F.col("parts"), keywords))
+    sized = narrow(sized, "priority", "own_size", "glued_size")
+    rows = materialize(rank_newest(sized, F.col("priority"), max_rows), "trim-rows")
     largest = largest_group(rows, ["channel_id", "day"])
 
     state = rows.groupBy("channel_id").agg(
