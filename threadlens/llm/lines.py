@@ -20,6 +20,8 @@ which settles whether any earlier one exists, so groups are never expanded.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,13 +33,20 @@ MIN_WORDS = 5
 
 
 def numbered_lines(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(doc_id, text_hash, line_no, line) of every line that has a word, white space squeezed."""
+    """(doc_id, text_hash, line_no, line) of every line, white space squeezed to single blanks; '' if it has no word."""
     split = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
-    return (
-        docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(split).alias("line_no", "raw"))
-        .select("doc_id", "text_hash", "line_no", F.trim(F.regexp_replace("raw", r"\s+", " ")).alias("line"))
-        .where("line <> ''")
-    )
+    raw = F.col("raw")
+    # Most lines are squeezed already; looking for what is not costs less than a pattern.
+    odd = reduce(Column.__or__, (raw.contains(c) for c in ("  ", "\t", "\r", "\f", "\x0b")))
+    line = F.trim(F.when(odd, F.regexp_replace(raw, r"\s+", " ")).otherwise(raw))
+    return docs.select(F.col(id).alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.posexplode(split).alias("line_no", "raw")).select(
+        "doc_id", "text_hash", "line_no", line.alias("line")
+    ).withColumns({"h": F.xxhash64("line"), "g": F.xxhash64(F.lit(7), "line")})
+
+
+def word_count(line: Column) -> Column:
+    """Words of a squeezed line that is not empty."""
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
 
 
 def place(doc_id: str = "doc_id", text_hash: str = "text_hash", line_no: str = "line_no") -> Column:
@@ -45,17 +54,14 @@ def place(doc_id: str = "doc_id", text_hash: str = "text_hash", line_no: str = "
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(text_hash).alias("text_hash"), F.col(line_no).alias("line_no"))
 
 
-def half_keys(line: Column) -> Column:
-    """Keys of the first and the second half of a line, for its own length and for one word less."""
-    w, n = F.split(line, " "), F.size(F.split(line, " "))
-
-    def keys(length: Column) -> list[Column]:
-        head = F.floor(length / 2).cast("int")
-        tail = length - head
-        first, last = F.slice(w, F.lit(1), head), F.slice(w, n - tail + 1, tail)
-        return [F.xxhash64(F.lit(0), length, F.array_join(first, " ")), F.xxhash64(F.lit(1), length, F.array_join(last, " "))]
-
-    return F.array(*keys(n), *keys(n - 1))
+def half_keys(line: str, n: str) -> Column:
+    """Keys of the first and the second half of a line of ``n`` words, for its own length and for one word less."""
+    keys = []
+    for length in (n, f"({n} - 1)"):
+        head = f"int({length} div 2)"
+        keys.append(f"xxhash64(0, {length}, substring_index({line}, ' ', {head}))")
+        keys.append(f"xxhash64(1, {length}, substring_index({line}, ' ', {head} - {length}))")
+    return F.expr(f"array({', '.join(keys)})")
 
 
 def with_partner(places: DataFrame) -> DataFrame:
@@ -115,15 +121,17 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     document id (null ids last), then text hash, then line number; rows that
     repeat with the same id and text are one document.
     """
-    rows = numbered_lines(docs, id, text).withColumn("h", F.xxhash64("line")).withColumn("g", F.xxhash64(F.lit(7), "line"))
-    long_enough = F.size(F.split("line", " ")) >= min_words
+    rows = numbered_lines(docs, id, text)
     places = materialize(
-        rows.select("doc_id", "text_hash", "line_no", "h", "g", F.when(long_enough, half_keys(F.col("line"))).alias("keys")), "line-places"
-    )
+        rows.withColumn("n", word_count(F.col("line")).cast("int")).select(
+            "doc_id", "text_hash", "line_no", "h", "g", (F.col("line") != "").alias("has_words"),
+            F.when(F.col("n") >= min_words, half_keys("line", "n")).alias("keys"),
+        ), "line-places",
+    ).where("has_words")
     firsts = places.groupBy("h", "g").agg(F.min(place()).alias("first"))
     partners = materialize(with_partner(places), "lines-with-partner")
     chosen = materialize(
-        rows.where(long_enough).join(bounded(partners, BROADCAST_ROWS), "h", "left_semi")
+        rows.join(bounded(partners, BROADCAST_ROWS), "h", "left_semi")
         .groupBy("h", "g").agg(F.min(place()).alias("first"), F.any_value("line").alias("line"))
         .select(F.monotonically_increasing_id().alias("line_id"), "h", "g", "first", F.split("line", " ").alias("words"))
         .withColumn("n", F.size("words")), "distinct-lines",
