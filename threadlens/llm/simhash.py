@@ -341,23 +341,28 @@ def word_plan(n: int, similarity: float, radius: int = 2, recall: float = 0.99)
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
-def long_fingerprints(hashes: np.ndarray, sizes: np.ndarray, bits: int, count: int) -> np.ndarray:
-    """``count`` words of ``bits`` bits per text, cut from as many 64-bit fingerprints as it takes."""
-    per = 64 // bits
-    out = np.empty((len(sizes), count), np.uint64)
-    for block in range(-(-count // per)):
+def long_fingerprints(hashes: np.ndarray, sizes: np.ndarray, blocks: int) -> np.ndarray:
+    """``blocks`` independent 64-bit fingerprints per text, from as many scramblings of its shingle hashes."""
+    out = np.empty((len(sizes), blocks), np.uint64)
+    for block in range(blocks):
         with np.errstate(over="ignore"):
             salted = hashes ^ np.uint64((block * 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF)
             salted = salted * np.uint64(0xD6E8FEB86659FD93)
             salted ^= salted >> np.uint64(32)
             salted *= np.uint64(0xD6E8FEB86659FD93)
             salted ^= salted >> np.uint64(29)
-        words = majority_bits(salted, sizes)
-        for k in range(min(per, count - block * per)):
-            out[:, block * per + k] = (words >> np.uint64(k * bits)) & np.uint64((1 << bits) - 1)
+        out[:, block] = majority_bits(salted, sizes)
     return out
 
 
+def short_word(blocks: Column, at: Column, bits: int) -> Column:
+    """Word number ``at`` of ``bits`` bits; a 64-bit block holds as many whole words as fit."""
+    per = 64 // bits
+    block = F.element_at(blocks, (F.floor(at / per) + 1).cast("int"))
+    moved = [F.shiftrightunsigned(block, k * bits) for k in range(per)]
+    return F.element_at(F.array(*moved), (at % per + 1).cast("int")).bitwiseAND(F.lit((1 << bits) - 1))
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
     """Places of the pairs that form a spanning forest of the nearest pairs (rounds of cheapest edges)."""
     label, chosen = np.arange(n), []
@@ -377,12 +382,12 @@ def forest(n: int, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
         label = union(label, a[edges], b[edges])
 
 
-def near_forest(bits: np.ndarray, words: np.ndarray, radius: int, exact: np.uint64, farthest: int):
+def near_forest(bits: np.ndarray, prints: np.ndarray, radius: int, exact: np.uint64, farthest: int):
     """Forest edges (i, j) of the pairs that meet in the index and whose long fingerprints are within ``farthest``."""
     a = b = np.empty(0, np.int64)
     far = np.empty(0, np.int64)
     for i, j in GrayIndex(bits).pairs(radius, exact, 256):
-        d = np.bitwise_count(words[i] ^ words[j]).sum(1, dtype=np.int64)
+        d = np.bitwise_count(prints[i] ^ prints[j]).sum(1, dtype=np.int64)
         near = d <= farthest
         if near.any():
             a, b, far = np.concatenate([a, i[near]]), np.concatenate([b, j[near]]), np.concatenate([far, d[near]])
@@ -405,36 +410,38 @@ def similar_texts(
     """
     bits, count = word_plan(docs.count(), similarity, radius)
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    farthest = int(bits * count * differ + 3 * math.sqrt(bits * count * differ * (1 - differ)))
+    blocks = -(-count // (64 // bits))
+    farthest = int(64 * blocks * differ + 3 * math.sqrt(64 * blocks * differ * (1 - differ)))
 
     def made(batches):
         for batch, texts in text_chunks(batches, "text"):
             hashes = [np.unique(shingle_hashes(t, size)) for t in texts]
-            words = long_fingerprints(np.concatenate(hashes), np.array([len(h) for h in hashes]), bits, count)
-            lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1) * count, words.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), lists], ["id", "text_hash", "words"])
+            prints = long_fingerprints(np.concatenate(hashes), np.array([len(h) for h in hashes]), blocks)
+            lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1) * blocks, prints.ravel().view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), lists], ["id", "text_hash", "blocks"])
 
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
-    schema = T.StructType([source.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))])
+    schema = T.StructType([source.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.LongType()))])
     rows = materialize(small_batches(source).mapInArrow(made, schema), "long-fingerprints")
-    distinct = materialize(rows.groupBy("text_hash").agg(F.any_value("words").alias("words")), "distinct-texts")
-    cut = distinct.select("text_hash", "words", F.posexplode("words").alias("at", "turned")).select(
-        F.col("at").cast("string").alias("path"), "turned", "text_hash", "words"
+    distinct = materialize(rows.groupBy("text_hash").agg(F.any_value("blocks").alias("blocks")), "distinct-texts")
+    numbers = F.sequence(F.lit(0), F.lit(count - 1))
+    cut = distinct.select("text_hash", "blocks", F.explode(numbers).alias("at")).select(
+        F.col("at").cast("string").alias("path"), short_word(F.col("blocks"), F.col("at"), bits).alias("turned"), "text_hash", "blocks"
     )
     groups = sliced(keyed(cut, bits, radius, max_group), max_group)
 
     def near(batches):
         for table in grouped_batches(batches, 1 << 14):
             turned = table.column("turned").to_numpy().view(np.uint64)
-            words = table.column("words").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, count)
+            prints = table.column("blocks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, blocks)
             fixed = table.column("fixed")[0].as_py()
             exact = np.uint64(((1 << fixed) - 1) << (bits - fixed))
-            a, b = near_forest(turned, words, radius, exact, farthest)
+            a, b = near_forest(turned, prints, radius, exact, farthest)
             hashes = table.column("text_hash").to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(hashes[a]), pa.array(hashes[b])], ["a", "b"])
 
     edges = (
-        sorted_groups(groups).select("path", "key", "fixed", "turned", "text_hash", "words")
+        sorted_groups(groups).select("path", "key", "fixed", "turned", "text_hash", "blocks")
         .mapInArrow(near, "a long, b long")
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     )
