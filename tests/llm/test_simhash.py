@@ -135,3 +135,15 @@ def test_many_equal_words_are_cut_into_slices(spark):
     docs = spark.createDataFrame(texts, "doc_id long, text string")
     found = simhash.similar_texts(docs, max_group=8)
     assert found.select("component").distinct().count() == 1
+
+
+def test_slices_lose_no_pair(spark):
+    rows = [("0", 7, i * 0x9E3779B97F4A7C15 % (1 << 62)) for i in range(60)] + [("0", 8, i) for i in range(5)]
+    got = simhash.sliced(spark.createDataFrame(rows, "path string, key long, text_hash long"), 8).collect()
+    groups = {}
+    for r in got:
+        groups.setdefault((r["path"], r["key"]), []).append(r["text_hash"])
+    met = {pair for (_, key), held in groups.items() if key == 7 for pair in combinations(sorted(held), 2)}
+    assert met == set(combinations(sorted(h for _, key, h in rows if key == 7), 2))
+    assert sorted(groups["0", 8]) == [0, 1, 2, 3, 4]
+    assert all(len(held) == len(set(held)) for held in groups.values())

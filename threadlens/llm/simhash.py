@@ -213,7 +213,8 @@ def keyed(rows: DataFrame, width: int, radius: int, max_group: int = MAX_GROUP)
 
     ``path`` tells rows apart that must never meet.  Oversized groups are cut
     again on their free bits; after the last cut a group has 2**13 words or so
-    at most, as its rows are distinct words that share all other bits.
+    at most if its rows are distinct words, as they share all other bits.  Rows
+    of equal words are left to ``sliced``.
     """
     cuts = key_bits(width, radius)
     done, fixed = [], 0
@@ -457,22 +458,23 @@ def text_hash(text: Column) -> Column:
 
 
 def sliced(groups: DataFrame, max_group: int) -> DataFrame:
-    """Cut groups of many equal words into slices; the row with the smallest hash is in each of them.
+    """Cut oversized groups, each pair of slices going into a group of its own, so every two rows still meet.
 
-    Texts that share a word need not be compared in all pairs to be joined: a
-    slice joins its own members, and those of other words join the slices.
+    Rows are distinct texts, of which any number may share a word.
     """
-    big = groups.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n"), F.min("text_hash").alias("least")).where(F.col("n") > max_group)
+    big = groups.groupBy("path", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max_group)
     big = materialize(big, "large-slices")
     if big.isEmpty():
         return groups
-    slices = F.ceil(F.col("n") / max_group).cast("int")
-    own = F.array(F.pmod(F.col("text_hash"), slices).cast("int"))
-    where = F.when(F.col("text_hash") == F.col("least"), F.sequence(F.lit(0), slices - 1)).otherwise(own)
+    slices = F.ceil(F.col("n") / (max_group / 2)).cast("int")
     return (
-        groups.join(big, ["path", "key"], "left")
-        .withColumn("slice", F.explode(F.when(F.col("n").isNull(), F.array(F.lit(0))).otherwise(where)))
-        .withColumn("path", F.concat_ws("#", "path", F.col("slice").cast("string"))).drop("n", "least", "slice")
+        groups.join(big, ["path", "key"], "left").withColumn("slices", F.coalesce(slices, F.lit(1)))
+        .withColumn("slice", F.pmod(F.xxhash64("text_hash"), F.col("slices")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        .withColumn("path", F.when(F.col("slices") == 1, F.col("path")).otherwise(
+            F.concat_ws("#", "path", F.least("slice", "other").cast("string"), F.greatest("slice", "other").cast("string"))
+        ))
+        .drop("n", "slices", "slice", "other")
     )
 
 
