@@ -4,6 +4,7 @@ import re
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -147,3 +148,30 @@ def test_slices_lose_no_pair(spark):
     assert met == set(combinations(sorted(h for _, key, h in rows if key == 7), 2))
     assert sorted(groups["0", 8]) == [0, 1, 2, 3, 4]
     assert all(len(held) == len(set(held)) for held in groups.values())
+
+
+def test_true_link_behind_failing_forest_edges(spark):
+    """A-B and B-C have a Jaccard similarity below 0.8, A-C one above it, often with the more distant fingerprints."""
+    def changed(words, at):
+        return " ".join("new" + w if i in at else w for i, w in enumerate(words))
+
+    rows = []
+    for k in range(150):
+        words = [f"{k}w{i}" for i in range(200)]
+        a, b, c = changed(words, ()), changed(words, (10, 30, 50, 70, 90)), changed(words, (70, 90, 110, 130))
+        assert jaccard(a, b) < 0.8 and jaccard(b, c) < 0.8 <= jaccard(a, c)
+        rows += [(3 * k, a), (3 * k + 1, b), (3 * k + 2, c)]
+    found = {r["id"]: r["component"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    joined = [found[3 * k] == found[3 * k + 2] for k in range(150)]
+    assert all(joined)
+    assert all(found[3 * k + 1] not in (found[3 * k], found[3 * k + 2]) for k in range(150))
+
+
+def test_set_links_join_what_all_pairs_join():
+    rng = np.random.default_rng(4)
+    base = [rng.choice(1000, 30, replace=False) for _ in range(6)]
+    sets = [np.unique(np.where(rng.random(30) < 0.06, rng.integers(1000, 2000, 30), base[i % 6])) for i in range(60)]
+    near = [(i, j) for i, j in combinations(range(60), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    lists = pa.array([[], *(x.tolist() for x in sets)], pa.list_(pa.int64())).slice(1)
+    got = list(simhash.set_links(lists, np.arange(60), 0.8))
+    assert set(got) <= set(near) and plain_components(60, got) == plain_components(60, near)

@@ -37,6 +37,7 @@ from .common import BROADCAST_ROWS, bounded, components, named_components, small
 SEED = 42
 FAN = 16
 MAX_GROUP = 8192
+OPEN_GROUP = 2048
 TASK_ROWS = 1 << 16
 LANE_ROWS = 60_000
 
@@ -406,8 +407,9 @@ def similar_texts(
     Distinct texts meet in the index if a short word of their long fingerprints
     is within the radius.  Of those whose whole fingerprints are close enough,
     each task keeps a spanning forest of the nearest pairs, and every forest edge
-    is verified by the exact Jaccard similarity of the two shingle sets.  Null
-    and empty texts are copies of one another.
+    is verified by the exact Jaccard similarity of the two shingle sets.  Where
+    that leaves a tree in several classes, all its close pairs between different
+    classes are verified too.  Null and empty texts are copies of one another.
     """
     bits, count = word_plan(docs.count(), similarity, radius)
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
@@ -447,7 +449,10 @@ def similar_texts(
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
     )
     edges = materialize(edges, "near-texts")
-    joined = components(verified(edges, source, size, similarity))
+    sets = shingle_sets(edges, source, size)
+    classes = materialize(components(verified(edges, sets, similarity)), "text-classes")
+    more = across_classes(edges, classes, distinct, sets, similarity, farthest)
+    joined = merged_classes(classes, more)
     return rows.select("id", "text_hash").join(joined.withColumnRenamed("node", "text_hash"), "text_hash", "left").select(
         "id", "text_hash", F.coalesce("component", "text_hash").alias("component")
     )
@@ -478,8 +483,8 @@ def sliced(groups: DataFrame, max_group: int) -> DataFrame:
     )
 
 
-def verified(edges: DataFrame, source: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The edges between text hashes whose shingle sets have at least the Jaccard similarity."""
+def shingle_sets(edges: DataFrame, source: DataFrame, size: int) -> DataFrame:
+    """(text_hash, shingles) of every end of an edge; sorted distinct hashes."""
     ends = materialize(edges.select(F.explode(F.array("a", "b")).alias("text_hash")).distinct(), "near-ends")
 
     def sets(batches):
@@ -494,15 +499,106 @@ def verified(edges: DataFrame, source: DataFrame, size: int, similarity: float)
         .mapInArrow(sets, "text_hash long, shingles array<long>")
         .groupBy("text_hash").agg(F.any_value("shingles").alias("shingles"))
     )
-    held = materialize(held, "shingle-sets")
+    return materialize(held, "shingle-sets")
+
+
+def verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The edges between text hashes whose shingle sets have at least the Jaccard similarity."""
     both = F.size(F.array_intersect("x", "y"))
     return (
-        edges.join(held.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
-        .join(held.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
+        edges.join(sets.select(F.col("text_hash").alias("a"), F.col("shingles").alias("x")), "a")
+        .join(sets.select(F.col("text_hash").alias("b"), F.col("shingles").alias("y")), "b")
         .where(both >= similarity * (F.size("x") + F.size("y") - both)).select("a", "b")
     )
 
 
+def set_links(sets: pa.ListArray, label: np.ndarray, similarity: float, near=None) -> Iterator[tuple[int, int]]:
+    """Pairs i < j of sets that have at least the Jaccard similarity and join all labels that such pairs join.
+
+    A pair whose labels are joined already is not looked at; ``near(i, j)`` tells which of the rows j may be near.
+    """
+    label = label.copy()
+    codes = np.unique(sets.flatten().to_numpy(), return_inverse=True)[1]
+    end = sets.offsets.to_numpy().astype(np.int64) - sets.offsets[0].as_py()
+    start, size = end[:-1], np.diff(end)
+    held = np.zeros(len(codes) + 1, bool)
+    for i in range(len(sets) - 1):
+        j = i + 1 + np.flatnonzero(label[i + 1 :] != label[i])
+        j = j[np.minimum(size[j], size[i]) >= similarity * np.maximum(size[j], size[i])]
+        if near is not None and len(j):
+            j = j[near(i, j)]
+        if not len(j):
+            continue
+        own = codes[start[i] : end[i + 1]]
+        held[own] = True
+        both = np.fromiter((np.count_nonzero(held[codes[start[k] : end[k + 1]]]) for k in j), np.int64, len(j))
+        held[own] = False
+        j = j[both >= similarity * (size[i] + size[j] - both)]
+        for k in j.tolist():
+            if label[k] != label[i]:
+                yield i, k
+                label[label == label[k]] = label[i]
+
+
+def across_classes(
+    edges: DataFrame, classes: DataFrame, distinct: DataFrame, sets: DataFrame, similarity: float, farthest: int,
+    max_group: int = OPEN_GROUP,
+) -> DataFrame:
+    """Edges (a, b) between classes of ``classes`` (node, component) that near texts of both join.
+
+    A forest keeps no pair that its other edges connect, so a pair may have been
+    left out for edges that then failed.  The two texts lie in one tree of all
+    forest edges.  A tree whose texts are one class needs nothing more; of any
+    other, every pair of texts of different classes whose whole fingerprints are
+    within ``farthest`` is verified, wherever a word of theirs met.
+    """
+    trees = components(edges).select(F.col("node").alias("text_hash"), F.col("component").alias("key"))
+    trees = trees.join(classes.withColumnRenamed("node", "text_hash"), "text_hash", "left").select(
+        "key", "text_hash", F.coalesce("component", "text_hash").alias("class")
+    )
+    trees = materialize(trees, "text-trees")
+    torn = trees.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    torn = materialize(torn, "open-trees")
+    rows = trees.join(torn, "key").join(distinct.select("text_hash", "blocks"), "text_hash").join(sets, "text_hash").withColumn("path", F.lit(""))
+    groups = sliced(rows, max_group)
+
+    def linked(batches):
+        for group in same_key(grouped_batches(batches, max_group)):
+            prints = group.column("blocks").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(group.num_rows, -1)
+            kind = group.column("class").to_numpy()
+
+            def near(i, j, prints=prints):
+                return np.bitwise_count(prints[j] ^ prints[i]).sum(1, dtype=np.int64) <= farthest
+
+            pairs = list(set_links(group.column("shingles").combine_chunks(), kind, similarity, near))
+            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(kind[a]), pa.array(kind[b])], ["a", "b"])
+
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        small_batches(groups.repartition(n, "path", "key").sortWithinPartitions("path", "key"))
+        .select("path", "key", "text_hash", "class", "blocks", "shingles").mapInArrow(linked, "a long, b long")
+    )
+
+
+def same_key(tables: Iterator[pa.Table]) -> Iterator[pa.Table]:
+    """The groups of equal keys in tables sorted by key, those of one row left out."""
+    for table in tables:
+        key = table.column("key").to_numpy()
+        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        for start, end in zip(cuts, cuts[1:], strict=False):
+            if end - start > 1:
+                yield table.slice(start, end - start)
+
+
+def merged_classes(classes: DataFrame, more: DataFrame) -> DataFrame:
+    """``classes`` (node, component) after joining classes, which texts without one are of their own, by the edges ``more``."""
+    found = materialize(components(more), "joined-classes").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    named = classes.join(found, "component", "left").select("node", F.coalesce("least", "component").alias("component"))
+    alone = found.join(classes.select("component").distinct(), "component", "left_anti")
+    return named.union(alone.select(F.col("component").alias("node"), F.col("least").alias("component")))
+
+
 def one_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", size: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that stay: of each class of near-duplicates the row with the smallest id.
 
