@@ -175,3 +175,24 @@ def test_set_links_join_what_all_pairs_join():
     lists = pa.array([[], *(x.tolist() for x in sets)], pa.list_(pa.int64())).slice(1)
     got = list(simhash.set_links(lists, np.arange(60), 0.8))
     assert set(got) <= set(near) and plain_components(60, got) == plain_components(60, near)
+
+
+def test_short_texts_are_joined_at_every_length(spark):
+    rows, pairs = [], []
+    for words in (*range(8, 30, 3), 40):  # words added up to a similarity of 0.8
+        for k in range(60):
+            base = [f"{words}x{k}y{i}" for i in range(words)]
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(base)), (len(rows) + 1, " ".join([*base, *(f"z{i}" for i in range(max(1, (words - 4) // 4)))]))]
+    texts = dict(rows)
+    assert all(jaccard(texts[i], texts[j]) >= 0.8 for i, j in pairs)
+    found = {r["id"]: r["component"] for r in simhash.similar_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    lost = [i for i, j in pairs if found[i] != found[j]]
+    assert not [i for i in lost if len(simhash.shingle_hashes(texts[i], 5)) <= simhash.SHORT]
+    assert len(lost) <= 0.02 * len(pairs)  # beyond, the index is built for 0.99
+    assert len(set(found.values())) == len(pairs) + len(lost)
+
+
+def test_bits_of_small_sets_differ_more_often():
+    assert simhash.differing(4, 0, 1) == 0.1875
+    assert 0.1515 < simhash.most_differing(0.8) < 0.16

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import repeat
 
 import numpy as np
@@ -38,6 +38,7 @@ SEED = 42
 FAN = 16
 MAX_GROUP = 8192
 OPEN_GROUP = 2048
+SHORT = 16
 TASK_ROWS = 1 << 16
 LANE_ROWS = 60_000
 
@@ -329,16 +330,45 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", siz
 # ---------------------------------------- duplicates by similarity of their texts
 
 
+def differing(shared: int, left: int, right: int) -> float:
+    """Probability that a bit differs between a set of ``shared + left`` hashes and one of ``shared + right``; ties give 0."""
+    def ones(n):
+        return np.array([math.comb(n, k) / 2**n for k in range(n + 1)])
+
+    def on(own):
+        return np.array([ones(own)[2 * (s + np.arange(own + 1)) > shared + own].sum() for s in range(shared + 1)])
+
+    x, y = on(left), on(right)
+    return float((ones(shared) * (x * (1 - y) + y * (1 - x))).sum())
+
+
+@cache
+def most_differing(similarity: float) -> float:
+    """Probability that a bit differs at the similarity, for the sizes above ``SHORT`` where it is largest.
+
+    Large sets have a cosine of about 2s/(1+s), and their bits differ with
+    probability acos(cosine)/pi.  Small ones differ more often, since a bit that
+    is set in just half of an even number of hashes counts as 0; the excess
+    shrinks with the size, so sizes up to twice ``SHORT`` are looked at.
+    """
+    most = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    for n in range(SHORT + 1, 2 * SHORT + 1):
+        for m in range(n, int(n / similarity + 1e-9) + 1):
+            shared = math.ceil(similarity * (n + m) / (1 + similarity) - 1e-9)
+            if shared <= n:
+                most = max(most, differing(shared, n - shared, m - shared))
+    return most
+
+
 def word_plan(n: int, similarity: float, radius: int = 2, recall: float = 0.99) -> tuple[int, int]:
     """(bits, count) of the short words cut from a long fingerprint for ``n`` texts.
 
-    Two shingle sets of Jaccard similarity s have a cosine of about 2s/(1+s);
-    their bits differ with probability acos(cosine)/pi.  The words are long
-    enough that a text meets few chance neighbours, and as many as it takes for
-    one of them to be within the radius with the asked probability.
+    The words are long enough that a text meets few chance neighbours, and as
+    many as it takes for one of them to be within the radius with the asked
+    probability, for texts of more than ``SHORT`` shingles.
     """
     bits = min(60, max(20, math.ceil(math.log2(max(2, n))) + 6))
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = most_differing(similarity)
     hit = sum(math.comb(bits, k) * differ**k * (1 - differ) ** (bits - k) for k in range(radius + 1))
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
@@ -409,10 +439,13 @@ def similar_texts(
     each task keeps a spanning forest of the nearest pairs, and every forest edge
     is verified by the exact Jaccard similarity of the two shingle sets.  Where
     that leaves a tree in several classes, all its close pairs between different
-    classes are verified too.  Null and empty texts are copies of one another.
+    classes are verified too.  Pairs with a text of ``SHORT`` shingles or fewer
+    are found exactly (``short_links``).  Null and empty texts are copies of one
+    another.
     """
     bits, count = word_plan(docs.count(), similarity, radius)
-    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    differ = most_differing(similarity)
+    shortest = int(SHORT / similarity + 1e-9)
     blocks = -(-count // (64 // bits))
     farthest = int(64 * blocks * differ + 3 * math.sqrt(64 * blocks * differ * (1 - differ)))
 
@@ -421,14 +454,24 @@ def similar_texts(
             hashes = [np.unique(shingle_hashes(t, size)) for t in texts]
             prints = long_fingerprints(np.concatenate(hashes), np.array([len(h) for h in hashes]), blocks)
             lists = pa.ListArray.from_arrays(np.arange(len(texts) + 1) * blocks, prints.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), lists], ["id", "text_hash", "blocks"])
+            n = pa.array([len(h) for h in hashes], pa.int32())
+            few = pa.array([h.view(np.int64) if len(h) <= shortest else None for h in hashes], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), batch.column("text_hash"), lists, n, few], ["id", "text_hash", "blocks", "n", "few"]
+            )
 
     source = docs.select(F.col(id).alias("id"), F.col(text).alias("text"), text_hash(F.col(text)).alias("text_hash"))
-    schema = T.StructType([source.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("blocks", T.ArrayType(T.LongType()))])
+    longs = T.ArrayType(T.LongType())
+    schema = T.StructType([
+        source.schema["id"], T.StructField("text_hash", T.LongType()), T.StructField("blocks", longs),
+        T.StructField("n", T.IntegerType()), T.StructField("few", longs),
+    ])
     rows = materialize(small_batches(source).mapInArrow(made, schema), "long-fingerprints")
-    distinct = materialize(rows.groupBy("text_hash").agg(F.any_value("blocks").alias("blocks")), "distinct-texts")
+    distinct = rows.groupBy("text_hash").agg(*(F.any_value(c).alias(c) for c in ("blocks", "n", "few")))
+    distinct = materialize(distinct, "distinct-texts")
+    few = distinct.where("few IS NOT NULL").select("text_hash", F.col("few").alias("shingles"))
     numbers = F.sequence(F.lit(0), F.lit(count - 1))
-    cut = distinct.select("text_hash", "blocks", F.explode(numbers).alias("at")).select(
+    cut = distinct.where(F.col("n") > SHORT).select("text_hash", "blocks", F.explode(numbers).alias("at")).select(
         F.col("at").cast("string").alias("path"), short_word(F.col("blocks"), F.col("at"), bits).alias("turned"), "text_hash", "blocks"
     )
     groups = sliced(keyed(cut, bits, radius, max_group), max_group)
@@ -450,7 +493,7 @@ def similar_texts(
     )
     edges = materialize(edges, "near-texts")
     sets = shingle_sets(edges, source, size)
-    classes = materialize(components(verified(edges, sets, similarity)), "text-classes")
+    classes = materialize(components(verified(edges, sets, similarity).union(short_links(few, similarity))), "text-classes")
     more = across_classes(edges, classes, distinct, sets, similarity, farthest)
     joined = merged_classes(classes, more)
     return rows.select("id", "text_hash").join(joined.withColumnRenamed("node", "text_hash"), "text_hash", "left").select(
@@ -540,6 +583,36 @@ def set_links(sets: pa.ListArray, label: np.ndarray, similarity: float, near=Non
                 label[label == label[k]] = label[i]
 
 
+def short_links(few: DataFrame, similarity: float, max_group: int = OPEN_GROUP) -> DataFrame:
+    """Edges (a, b) that join all texts of ``few`` (text_hash, shingles) with at least the Jaccard similarity.
+
+    In an order of all shingles, two such sets of n and m share one of the first
+    n - ceil(s n) + 1 and m - ceil(s m) + 1; the rarest come first.  Sets without
+    a shingle have one key of their own.
+    """
+    each = few.select("text_hash", F.explode("shingles").alias("key"))
+    ranked = each.join(each.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), "key")
+    ranked = ranked.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("rows", "key"))).alias("order"))
+    n = F.size("order")
+    first = F.slice("order", F.lit(1), (n - F.ceil(n * similarity - 1e-9) + 1).cast("int"))
+    keys = ranked.select("text_hash", F.explode(first).alias("at")).select("text_hash", F.lit("").alias("path"), F.col("at.key").alias("key"))
+    none = few.where(F.size("shingles") == 0).select("text_hash", F.lit("none").alias("path"), F.lit(0).cast("long").alias("key"))
+    groups = sliced(materialize(keys.union(none).join(few, "text_hash"), "short-texts"), max_group)
+
+    def linked(batches):
+        for group in same_key(grouped_batches(batches, max_group)):
+            hashes = group.column("text_hash").to_numpy()
+            pairs = list(set_links(group.column("shingles").combine_chunks(), np.arange(len(hashes)), similarity))
+            a, b = np.array(pairs, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[a]), pa.array(hashes[b])], ["a", "b"])
+
+    parts = int(few.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return (
+        groups.repartition(parts, "path", "key").sortWithinPartitions("path", "key")
+        .select("path", "key", "text_hash", "shingles").mapInArrow(linked, "a long, b long")
+    )
+
+
 def across_classes(
     edges: DataFrame, classes: DataFrame, distinct: DataFrame, sets: DataFrame, similarity: float, farthest: int,
     max_group: int = OPEN_GROUP,
