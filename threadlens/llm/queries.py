@@ -10,18 +10,21 @@ from pyspark.sql import functions as F
 
 from threadlens.session import materialize, work_dir
 
-from . import chat, decontamination, embeddings, language, lines, mixing, pii, simhash, token_output, toxicity
+from . import (
+    chat, decontamination, embeddings, language, lexical, lines, mixing, pii, simhash, token_counts, token_output, toxicity, whitening,
+)
 from .common import share, table
 
 TOKENIZER = "word_bpe_49k.json"
+COUNTED = "byte_bpe_50k.json"
 END_ID = 2
 TOXIC = 0.7
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def folder(spark: SparkSession, label: str) -> str:
@@ -94,11 +97,25 @@ def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(materialize(chat.format_turns(parts), "chat"))
 
 
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, tokenizer_path(COUNTED)).drop("text")
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.components_of(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), components=8)
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash_near_dedup, op2_language_id, op3_token_output, op4_embedding_near_dedup, op5_benchmark_decontamination,
-        op6_personal_data, op7_line_dedup, op8_chat_formatting, op9_toxicity, op10_source_mixing,
+        op6_personal_data, op7_line_dedup, op8_chat_formatting, op9_toxicity, op10_source_mixing, op11_token_counts,
+        op12_embedding_whitening, op13_lexical_search,
     )
 }
 
@@ -106,5 +123,6 @@ SQL = {
     name: (Path(__file__).parent / "sql" / f"{name}.sql").read_text()
     for name in (
         "op4_embedding_near_dedup", "op5_benchmark_decontamination", "op7_line_dedup", "op8_chat_formatting", "op10_source_mixing",
+        "op13_lexical_search",
     )
 }
