@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = 4 << 20
+
 # Settings the operators count on.  AQE turns a shuffled join into a broadcast
 # only after it has seen the real size of the small side, and splits skewed
 # join partitions; nothing in the library forces a broadcast by hint.
@@ -53,4 +55,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{work_dir(spark)}/threadlens/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    layer = spark.read.schema(df.schema).parquet(path)
+    layer.layer_path = path
+    return layer
+
+
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, which may hold very long texts, to be sent to Python in batches bounded by bytes."""
+    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return rows
+
+
+def drop_layer(layer: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` returned, after its last use."""
+    jvm = layer.sparkSession._jvm
+    path = jvm.org.apache.hadoop.fs.Path(layer.layer_path)
+    path.getFileSystem(layer.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
