@@ -1,17 +1,17 @@
 """Ranked lexical search by norm buckets of impact vectors.
 
 A document is a vector over the queries' terms, with its impact on each, and a
-query a vector of its terms' counts; the score is their product.  Both carry the
-square root of a term's weight, so a rare term stands out on either side.
+query a vector of its terms' counts times their weights; the score is their
+product.  With the weights on its side, a query's length lies in few coordinates.
 
 The vectors are ordered by length over the whole table and cut into buckets.  A
 few rounds, each a larger share of the buckets than the last, search them in that
 order, and the scores found so far give every query a bound from below for its
 k-th best.  Cauchy-Schwarz leaves out a bucket whose longest vector, times the
 query, is below the bound (for all queries at once it's a filter of the scan).
-Inside a bucket the few heaviest coordinates of a query are looked up in lists: a
-document must reach the bound with what it has there and, by Cauchy-Schwarz, at
-most the product of what is left of both lengths.  Survivors are scored in 64-bit
+Inside a bucket a query's heaviest coordinates, which hold nearly all of its
+length, are looked up in lists: a document must reach the bound with what it has
+there and, by Cauchy-Schwarz, at most the product of what is left of both lengths.  Survivors are scored in 64-bit
 integers.  Bounds are in doubles with a margin far above their rounding, so no
 document that belongs in a list is left out, ties included.
 
@@ -44,7 +44,7 @@ CHUNK_BYTES = 1 << 20
 #: Shares of the buckets, longest vectors first, that the rounds have searched at their ends.
 ROUNDS = (0.02, 0.2, 1.0)
 FIRST_BUCKET, LARGEST_BUCKET = 128, 4096
-FOCUS = 8
+FOCUS = 31 / 32  # share of a query's squared length
 MARGIN = 1e-9
 
 
@@ -250,24 +250,23 @@ class Rows(NamedTuple):
     first: np.ndarray
     term: np.ndarray
     impact: np.ndarray
-    value: np.ndarray
     norm: np.ndarray
 
 
 def rows_of(batch: pa.RecordBatch, w: Weights) -> Rows:
-    """Impacts (integers without the weight), values with the root of the weight, and lengths."""
+    """Impacts, which are integers, and lengths; terms of weight 0 add to no score and count for nothing."""
     lists, tfs = batch.column("terms"), batch.column("tfs")
     sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     first = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
     term, tf = lists.flatten().to_numpy().astype(np.int64), tfs.flatten().to_numpy().astype(np.int64)
     m = 100 - 25 + (25 * batch.column("n").to_numpy() * w.docs) // max(w.length, 1)
     impact = (1_000_000_000 * tf) // (1000 * tf + 12 * np.repeat(m, sizes))
-    value = impact * np.sqrt(w.weight[term].astype(np.float64))
-    squares = np.concatenate([[0.0], np.cumsum(value * value)])
-    # A running sum would carry the rounding of the rows before; each row is summed alone.
-    norm = np.sqrt(np.add.reduceat(np.append(value * value, 0.0), first[:-1]) * (sizes > 0)) if len(sizes) else squares[:0]
+    impact[w.weight[term] == 0] = 0
+    # Each row is summed alone: a running sum would carry the rounding of the rows before.
+    squares = np.append(impact.astype(np.float64) ** 2, 0.0)
+    norm = np.sqrt(np.add.reduceat(squares, first[:-1]) * (sizes > 0)) if len(sizes) else np.empty(0)
     ids = batch.column("doc_id").to_pylist() if "doc_id" in batch.schema.names else []
-    return Rows(ids, first, term, impact, value, norm)
+    return Rows(ids, first, term, impact, norm)
 
 
 def in_buckets(vectors: DataFrame, w: Weights) -> DataFrame:
@@ -299,7 +298,7 @@ class Searcher:
         self.k, self.w = k, w
         self.first = np.searchsorted(asked.query, np.arange(len(asked.keys) + 1))
         self.term, self.times = asked.term, asked.times
-        self.value = asked.times * np.sqrt(w.weight[asked.term].astype(np.float64))
+        self.value = (asked.times * w.weight[asked.term]).astype(np.float64)
         self.norm = np.sqrt(np.add.reduceat(self.value**2, self.first[:-1])) if len(asked.keys) else np.empty(0)
         self.bound = np.maximum(bounds, 1)  # scores are above 0
         self.best: list[list[tuple]] = [[] for _ in asked.keys]
@@ -318,14 +317,16 @@ class Searcher:
         if not len(alive):
             return
         low, high = rows.first[begin], rows.first[end]
-        term, value = rows.term[low:high], rows.value[low:high]
+        term, value = rows.term[low:high], rows.impact[low:high].astype(np.float64)
         doc = np.repeat(np.arange(end - begin), np.diff(rows.first[begin : end + 1]))
         by_term = np.argsort(term, kind="stable")
         sorted_term, value, doc = term[by_term], value[by_term], doc[by_term]
         for q in alive.tolist():
             a, b = self.first[q], self.first[q + 1]
             held = self.value[a:b]
-            focus = np.argsort(-held, kind="stable")[:FOCUS]
+            heaviest = np.argsort(-held, kind="stable")
+            share = np.cumsum(held[heaviest] ** 2)
+            focus = heaviest[: int(np.searchsorted(share, FOCUS * share[-1])) + 1]
             mine = self.term[a:b][focus]
             starts, stops = np.searchsorted(sorted_term, mine, "left"), np.searchsorted(sorted_term, mine, "right")
             sizes = stops - starts
