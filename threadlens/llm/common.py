@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import sys
+import types
+from collections.abc import Callable, Hashable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,36 @@ def small_batches(rows: DataFrame) -> DataFrame:
     return rows
 
 
+def kept_by_worker(key: Hashable, make: Callable[[], object]) -> object:
+    """What ``make`` gives, made once per Python worker, which Spark reuses for many tasks.
+
+    For tables that only save work: a task of a new worker makes its own.  The
+    functions of this package reach tasks by value, so their module's variables
+    would be new in every task.
+    """
+    name = "threadlens_worker_state"
+    held = vars(sys.modules.setdefault(name, types.ModuleType(name))).setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
+class RecentTable:
+    """A dict of bounded size: what is not asked for while ``size`` further entries come is forgotten."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def make_room(self, more: int = 1) -> bool:
+        """To be called before ``more`` entries come; true if the newer entries have become the older ones."""
+        if len(self.new) + more <= self.size or not self.new:
+            return False
+        self.old, self.new = self.new, {}
+        return True
+
+
 def bounded(small: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``small`` (a written table of narrow rows), marked for broadcast if it has ``rows`` rows at most; else a shuffled join follows."""
     return F.broadcast(small) if small.count() <= rows else small

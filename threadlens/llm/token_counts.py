@@ -8,13 +8,14 @@ when popped, so a piece of n bytes takes n log n steps whatever its length.  The
 count is the number of first symbols less the number of merges: no id is made.
 
 Byte-level tokenizers cut a text into pieces first and never merge across them,
-so the counts of the pieces add up.  Pieces repeat, so a task keeps a bounded
-table of their counts; a text's own table is never larger than a slice of it.
+so the counts of the pieces add up.  Pieces repeat, so a Python worker keeps
+a bounded table of their counts.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
 from itertools import islice
@@ -24,16 +25,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import small_batches, text_chunks
+from .common import RecentTable, kept_by_worker, small_batches, text_chunks
 
 #: Fixed value: the pattern by which byte-level tokenizers cut a text.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_PIECES = 250_000
+#: The same pattern where a text is ASCII.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[a-zA-Z]+| ?[0-9]+| ?[^\sa-zA-Z0-9]+|\s+(?!\S)|\s+"
+CACHE_PIECES = 300_000
 CACHE_LENGTH = 64
 SLICE_PIECES = 1 << 16
 SLICE_CHARS = 1 << 20
 LIMIT = 1024
-BITS = 32
 
 
 class Counter:
@@ -49,13 +51,19 @@ class Counter:
         # Bytes are written as characters of their own; the vocabulary tells which.
         seen = {b: chr(b) for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         shown = seen | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in seen)}
-        number = rules["model"]["vocab"]
-        self.first = [number[shown[b]] for b in range(256)]
-        self.pairs: dict[int, int] = {}
-        for rank, pair in enumerate(rules["model"]["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self.pairs.setdefault(number[a] << BITS | number[b], rank << BITS | number[a + b])
+        symbols = {shown[b]: b for b in range(256)}
+        merges = [pair.split(" ") if isinstance(pair, str) else pair for pair in rules["model"]["merges"]]
+        self.made = [symbols.setdefault(a + b, len(symbols)) for a, b in merges]
+        self.gone = len(symbols)  # a symbol that is in no pair
+        none: dict[int, int] = {}
+        self.ranks = [none] * (self.gone + 1)
+        for rank, (a, b) in enumerate(merges):
+            left = symbols[a]
+            if self.ranks[left] is none:
+                self.ranks[left] = {}
+            self.ranks[left].setdefault(symbols[b], rank)
         self.cut = regex.compile(PATTERN)
+        self.cut_ascii = re.compile(ASCII_PATTERN, re.ASCII)
         self.kinds = [("a", regex.compile(r"\p{L}")), ("1", regex.compile(r"\p{N}")), ("!", regex.compile(r"[^\s\p{L}\p{N}]"))]
         self.split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
         special = sorted((t["content"] for t in rules["added_tokens"]), key=len, reverse=True)
@@ -63,7 +71,7 @@ class Counter:
         self.strings = special
         self.agreed: set[str] = set(map(chr, range(128)))
         self.disputed: set[str] = set()
-        self.known: dict[str, int] = {}
+        self.known = RecentTable(CACHE_PIECES)
 
     def count(self, text: str) -> int:
         """Tokens of ``text``; a special token's string is one."""
@@ -76,12 +84,13 @@ class Counter:
         return found + self.plain(text[at:])
 
     def plain(self, text: str) -> int:
-        if self.alike(text):
-            if len(text) <= SLICE_CHARS:
-                return self.of_pieces(self.cut.findall(text))
-            pieces = (m.group() for m in self.cut.finditer(text))
-            return sum(iter(lambda: self.of_pieces(list(islice(pieces, SLICE_PIECES))), 0))
-        return sum(self.of_pieces([text[a:b]]) for _, (a, b) in self.split(text))
+        if not text.isascii() and not self.alike(text):
+            return sum(self.of_pieces([text[a:b]]) for _, (a, b) in self.split(text))
+        cut = self.cut_ascii if text.isascii() else self.cut
+        if len(text) <= SLICE_CHARS:
+            return self.of_pieces(cut.findall(text))
+        pieces = (m.group() for m in cut.finditer(text))
+        return sum(iter(lambda: self.of_pieces(list(islice(pieces, SLICE_PIECES))), 0))
 
     def alike(self, text: str) -> bool:
         """Whether the pattern's library and the tokenizer's take all of the text's characters for the same kind.
@@ -89,8 +98,6 @@ class Counter:
         They follow different editions of Unicode.  A character that they dispute
         sends its text to the tokenizer's own cutting.
         """
-        if text.isascii():
-            return True
         used = set(text)
         for char in used - self.agreed - self.disputed:
             kinds = [(bool(kind.match(char)), len(self.split(mate + char)) == 1) for mate, kind in self.kinds]
@@ -98,58 +105,58 @@ class Counter:
         return self.disputed.isdisjoint(used)
 
     def of_pieces(self, pieces: list[str]) -> int:
-        get = self.known.get
-        counts = list(map(get, pieces))
+        table = self.known
+        table.make_room()
+        counts = list(map(table.new.get, pieces))
         if None in counts:
-            if len(self.known) > CACHE_PIECES:
-                self.known.clear()
+            known, older = table.new, table.old
             for k, n in enumerate(counts):
                 if n is None:
                     piece = pieces[k]
-                    n = get(piece)
+                    n = known.get(piece) or older.get(piece)
                     if n is None:
-                        symbols = list(map(self.first.__getitem__, piece.encode()))
-                        n = len(symbols) - self.merges(symbols)
-                        if len(piece) <= CACHE_LENGTH:
-                            self.known[piece] = n
+                        data = piece.encode()
+                        n = len(data) - self.merges(list(data))
+                    if len(piece) <= CACHE_LENGTH:
+                        known[piece] = n
                     counts[k] = n
         return sum(counts)
 
     def merges(self, symbol: list[int]) -> int:
-        """Merges that ``symbol``, the first symbols of a piece, goes through."""
-        n, get = len(symbol), self.pairs.get
-        heap = [
-            rule >> BITS << BITS | at
-            for at, rule in enumerate(get(a << BITS | b) for a, b in zip(symbol, symbol[1:])) if rule is not None
-        ]
+        """Merges that ``symbol``, the bytes of a piece, goes through."""
+        n, ranks, made, gone = len(symbol), self.ranks, self.made, self.gone
+        width = 1 << n.bit_length()
+        heap, at, left = [], 0, symbol[0]
+        for right in symbol[1:]:
+            rank = ranks[left].get(right)
+            if rank is not None:
+                heap.append(rank * width + at)
+            left = right
+            at += 1
         if not heap:
             return 0
         heapify(heap)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        low = (1 << BITS) - 1
         merged = 0
         while heap:
-            entry = heappop(heap)
-            at = entry & low
+            rank, at = divmod(heappop(heap), width)
             right = after[at]
-            if right >= n or symbol[at] < 0:
-                continue
-            rule = get(symbol[at] << BITS | symbol[right])
-            if rule is None or rule >> BITS != entry >> BITS:
+            if right >= n or ranks[symbol[at]].get(symbol[right]) != rank:
                 continue
             merged += 1
-            symbol[at], symbol[right] = rule & low, -1
-            next_one, last_one = after[right], before[at]
-            after[at] = next_one
-            if next_one < n:
-                before[next_one] = at
-                rule = get(symbol[at] << BITS | symbol[next_one])
-                if rule is not None:
-                    heappush(heap, rule >> BITS << BITS | at)
-            if last_one >= 0:
-                rule = get(symbol[last_one] << BITS | symbol[at])
-                if rule is not None:
-                    heappush(heap, rule >> BITS << BITS | last_one)
+            symbol[at] = new = made[rank]
+            symbol[right] = gone
+            after[at] = right = after[right]
+            if right < n:
+                before[right] = at
+                rank = ranks[new].get(symbol[right])
+                if rank is not None:
+                    heappush(heap, rank * width + at)
+            left = before[at]
+            if left >= 0:
+                rank = ranks[symbol[left]].get(new)
+                if rank is not None:
+                    heappush(heap, rank * width + left)
         return merged
 
 
@@ -185,7 +192,7 @@ def count_tokens(
     ])
 
     def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(tokenizer_path)
+        counter = kept_by_worker(("token counter", tokenizer_path), lambda: Counter(tokenizer_path))
         for batch, texts in text_chunks(batches, text):
             tokens = pa.array([counter.count(t) for t in texts], pa.int64())
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(batch.column(text)), pa.int64()), 0)
