@@ -116,11 +116,35 @@ def test_simple8b_packs_small_ids_tightly():
     assert len(coded) <= 10 * 5
 
 
+def test_encoder_is_the_library(monkeypatch):
+    """Random texts of marks, white space, capitals, accents, special strings and letters that normal form changes."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_output, "CACHE_PIECES", 900)  # pieces are forgotten and learnt again
+    rng = random.Random(3)
+    some = ["'s", "'re", " ", "  ", "\n", "\t", "a", "bc", "The", "<|endoftext|>", "<|ENDOFTEXT|>", "<|endof", "|>", "é", "e\u0301", "İ", "İ.",
+            "ſ", "ß", "ẞ", "Œ", "œ", "ǅ", "ŉ", "ª", "º", "µ", ".", ",", "...", "&&&", "-", "_", "12", "٣", "!", "…", "😀", "\xa0", "\u0301",
+            "\u0338", "\x1c", "\x85", "\r", "it's.", "wörd,", "Ω", "Å", "Σ", "ΑΣ"]
+    texts = ["İ.", "x.İ,"] + [
+        "".join(rng.choice(some) if rng.random() < 0.85 else chr(rng.choice([rng.randrange(32, 0x500), rng.randrange(0x10000, 0x30000)]))
+                for _ in range(rng.randrange(12)))
+        for _ in range(6000)
+    ]
+    for name, by_pieces in ((queries.TOKENIZER, True), (queries.COUNTED, False)):  # other rules: whole texts to the library
+        encoder, library = token_output.Encoder(queries.tokenizer_path(name)), Tokenizer.from_file(queries.tokenizer_path(name))
+        assert encoder.by_pieces == by_pieces
+        for k in range(0, len(texts), 300):
+            want = [e.ids for e in library.encode_batch(texts[k : k + 300], add_special_tokens=False)]
+            assert [np.frombuffer(g, "<u4").tolist() for g in encoder.ids(texts[k : k + 300])] == want
+
+
 def test_tokens_against_whole_encoding(spark, edge_docs, documents, tmp_path, monkeypatch):
     from tokenizers import Tokenizer
 
     monkeypatch.setattr(token_output, "SEGMENT", 3000)
-    odd = "İstanbul ΣΑΣ <|endoftext|> <|ENDOFTEXT|> it's THEY'RE e.g., Œuvre Å x y\tz\r\n3.14 ... 中文."
+    odd = "İ. İstanbul ΣΑΣ <|endoftext|> <|ENDOFTEXT|> it's THEY'RE e.g., Œuvre Å x y\tz\r\n3.14 ... 中文."
     docs = edge_docs.select("doc_id", "text").union(documents.select("doc_id", "text").where("doc_id BETWEEN 100 AND 260"))
     docs = docs.union(spark.createDataFrame([(60, odd)], "doc_id long, text string"))
     token_output.write(docs, str(tmp_path / "t"), queries.tokenizer_path(), 2)

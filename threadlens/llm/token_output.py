@@ -16,6 +16,7 @@ part sizes gives the ids before a part.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from array import array
@@ -27,14 +28,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_chunks
+from .common import RecentTable, kept_by_worker, small_batches, text_chunks
 
 BLOCK = 256
 SEGMENT = 1 << 18
 #: Fixed values of the code: ids per word and bits per id by selector; selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-CACHE_WORDS = 250_000
+CACHE_PIECES = 300_000
 
 
 # ------------------------------------------------------------------- the code
@@ -76,9 +77,11 @@ def pack(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     for size, (first, second) in WINDOWS.items():
         reach = widest[1].shape[1] - size + 1
         widest[size] = np.maximum(widest[first][:, :reach], widest[second][:, first : first + reach])
-    choice = np.zeros((blocks, block), np.uint8)
-    for selector in range(len(COUNTS) - 1, 0, -1):
-        choice[widest[COUNTS[selector]][:, :block] <= WIDTHS[selector]] = selector
+    # A selector that fits leaves all with fewer ids fitting, so the first that fits follows from how many don't.
+    choice = np.ones((blocks, block), np.uint8)
+    for selector in range(1, len(COUNTS)):
+        choice += widest[COUNTS[selector]][:, :block] > WIDTHS[selector]
+    choice[choice == len(COUNTS)] = 0
     choice = choice.ravel()
     at = np.arange(0, n, block, dtype=np.int64)
     end = np.minimum(at + block, n)
@@ -140,14 +143,31 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int, block: int = BLOCK) -
 # ---------------------------------------------------------------- tokenization
 
 
-class Encoder:
-    """Whole texts to ids, by way of a bounded table of the words seen.
+#: The rules under which a text may be cut at white space and plain words go straight to the model.
+NORMALIZER = {
+    "type": "Sequence",
+    "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+}
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+#: Marks that the rules cut off a word; the apostrophe may begin a short form and is none of them.
+MARKS = ".,;:!?#$%&*+-/=@^_`|~<>(){}[]\"\\"
+
 
-    The tokenizer's own rules cut a text at white space before anything else, so
-    a text's ids are those of its pieces between spaces and line ends in order.
-    A piece is looked up, or encoded once.  Pieces of Latin letters may be
-    lower-cased first, and a final full stop or comma after a letter is a piece
-    of its own, as the tokenizer would do both.
+class Encoder:
+    """Whole texts to ids, by way of a bounded table of the pieces seen.
+
+    Where the file has the rules above, a text's ids are those of its pieces
+    between spaces and line ends, in order: white space separates before anything
+    else, and no character composes with it.  A piece is looked up, or encoded
+    once.  Texts in Latin-1 may be lower-cased first, and marks behind a plain word
+    are a piece of their own, as the tokenizer would do both.  Under other rules,
+    or with special tokens of marks or white space, whole texts go to the tokenizer.
     """
 
     def __init__(self, path: str):
@@ -155,58 +175,78 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        self.special = [t["content"] for t in rules["added_tokens"]]
+        self.by_pieces = (
+            rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == PRE_TOKENIZER
+            and not any(rules.get(k) for k in ("truncation", "padding", "post_processor"))
+            and all(not any(t[k] for k in ("lstrip", "rstrip", "single_word")) for t in rules["added_tokens"])
+            and all(s.isascii() and s == s.lower() and s.strip(MARKS) and not any(map(str.isspace, s)) for s in self.special)
+        )
+        self.known = RecentTable(CACHE_PIECES)
         # Byte-level vocabularies write a byte as its character if it can be seen, else as the next free one from 256.
         seen = {b: b for b in (*range(33, 127), *range(161, 173), *range(174, 256))}
         self.bytes = seen | {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in seen)}
-        self.marks = {m: self.encode([m])[0] for m in ".,"}
-
-    def encode(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces; words of lower-case Latin letters go straight to the tokenizer's model, the rest takes all its steps.
-
-        Such a word is in normal form and one pre-token, so only the mapping of
-        its bytes to characters is left to do.
-        """
-        plain = [p.isalpha() and p.islower() and (p.isascii() or max(p) < "ɐ") for p in pieces]
-        rest = iter(self.tokenizer.encode_batch_fast([p for p, direct in zip(pieces, plain, strict=True) if not direct], add_special_tokens=False))
-        tokenize, table = self.tokenizer.model.tokenize, self.bytes
-        return [
-            array("I", [t.id for t in tokenize(p if p.isascii() else p.encode().decode("latin-1").translate(table))]
-                  if direct else next(rest).ids).tobytes()
-            for p, direct in zip(pieces, plain, strict=True)
-        ]
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        if not self.by_pieces:
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         cut = [self.pieces(t) for t in texts]
-        get = self.known.get
-        found = [list(map(get, pieces)) for pieces in cut]
-        holes = [[k for k, i in enumerate(ids) if i is None] if None in ids else [] for ids in found]
-        new = list({pieces[k] for pieces, at in zip(cut, holes, strict=True) for k in at})
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known.clear()
-        self.known.update(zip(new, self.encode_all(new), strict=True))
-        for pieces, ids, at in zip(cut, found, holes, strict=True):
-            for k in at:
-                ids[k] = self.known[pieces[k]]
-        return [b"".join(ids) for ids in found]
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        if "|>" not in text:  # a special token's string must keep its case
-            try:
-                text.isascii() or text.encode("latin-1")
-                text = text.lower()
-            except UnicodeEncodeError:
-                pass
+        used = set().union(*cut)
+        table = self.known
+        new = used.difference(table.new)
+        if table.make_room(len(new)):
+            new = used
+        again = new & table.old.keys()
+        for piece in again:
+            table.new[piece] = table.old[piece]
+        self.learn(new - again)
+        get = table.new.__getitem__
+        return [b"".join(map(get, pieces)) for pieces in cut]
+
+    def pieces(self, text: str) -> list[str]:
+        """The text between spaces and line ends; in lower case if that changes nothing that the tokenizer sees."""
+        try:
+            text.isascii() or text.encode("latin-1")
+            lowered = text.lower()
+            if not any(s in lowered for s in self.special):  # a special token's string must keep its case
+                text = lowered
+        except UnicodeEncodeError:
+            pass
         return text.replace("\n", " ").split(" ")
 
-    def encode_all(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces; many differ by their last mark alone."""
-        stems = [p[:-1] if p[-1:] in self.marks and "a" <= p[-2:-1] < "ɐ" and p[-2].isalpha() else p for p in pieces]
-        distinct = [s for s in dict.fromkeys(stems) if s not in self.known]
-        self.known.update(zip(distinct, self.encode(distinct), strict=True))
-        return [self.known[s] if s is p else self.known[s] + self.marks[p[-1]] for s, p in zip(stems, pieces, strict=True)]
+    def learn(self, pieces: set[str]) -> None:
+        """Puts the ids of ``pieces`` into the table.
+
+        A plain word, of small Latin letters, is in normal form and one pre-token,
+        so only the mapping of its bytes to characters is left to do before the
+        model.  Marks behind a plain word are a pre-token, encoded like any other
+        piece; all else takes all the tokenizer's steps.
+        """
+        known, older, tokenize, table = self.known.new, self.known.old, self.tokenizer.model.tokenize, self.bytes
+        whole, tailed = [], []
+        for piece in pieces:
+            word = piece.rstrip(MARKS)
+            if word.isalpha() and word.islower() and (word.isascii() or max(word) < "ɐ"):
+                if word in older:
+                    known[word] = older[word]
+                elif word not in known:
+                    shown = word if word.isascii() else word.encode().decode("latin-1").translate(table)
+                    known[word] = array("I", [t.id for t in tokenize(shown)]).tobytes()
+                if len(word) < len(piece):
+                    tail = piece[len(word) :]
+                    tailed.append((piece, word, tail))
+                    if tail not in known and tail not in pieces:
+                        whole.append(tail)
+            else:
+                whole.append(piece)
+        whole = list(dict.fromkeys(whole))
+        for piece, found in zip(whole, self.tokenizer.encode_batch_fast(whole, add_special_tokens=False), strict=True):
+            known[piece] = array("I", found.ids).tobytes()
+        for piece, word, tail in tailed:
+            known[piece] = known[word] + known[tail]
 
 
 # ----------------------------------------------------------------------- files
@@ -235,7 +275,7 @@ def write(
     tail = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def packed(batches):
-        encoder = Encoder(tokenizer_path)
+        encoder = kept_by_worker(("encoder", tokenizer_path), lambda: Encoder(tokenizer_path))
         coded = ((b.column("doc_id").to_pylist(), [x + tail for x in encoder.ids(texts)]) for b, texts in text_chunks(batches))
         part, segment, start = TaskContext.get().partitionId(), 0, 0
         for doc_ids, ids in segments_of(coded):
