@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from threadlens.session import materialize
+from threadlens.session import drop_layer, materialize
 
 from .common import BROADCAST_ROWS, bounded
 
@@ -54,46 +54,59 @@ def place(doc_id: str = "doc_id", text_hash: str = "text_hash", line_no: str = "
     return F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("doc_id"), F.col(text_hash).alias("text_hash"), F.col(line_no).alias("line_no"))
 
 
-def half_keys(line: str, n: str) -> Column:
+def half_keys(line: str, n: str) -> list[Column]:
     """Keys of the first and the second half of a line of ``n`` words, for its own length and for one word less."""
     keys = []
     for length in (n, f"({n} - 1)"):
         head = f"int({length} div 2)"
-        keys.append(f"xxhash64(0, {length}, substring_index({line}, ' ', {head}))")
-        keys.append(f"xxhash64(1, {length}, substring_index({line}, ' ', {head} - {length}))")
-    return F.expr(f"array({', '.join(keys)})")
+        keys.append(F.expr(f"xxhash64(0, {length}, substring_index({line}, ' ', {head}))"))
+        keys.append(F.expr(f"xxhash64(1, {length}, substring_index({line}, ' ', {head} - {length}))"))
+    return keys
 
 
-def with_partner(places: DataFrame) -> DataFrame:
+HALVES = ("k0", "k1", "k2", "k3")
+
+
+def with_partner(firsts: DataFrame) -> DataFrame:
     """Hashes of the lines that share a half with a different line."""
-    keys = places.select("h", F.explode("keys").alias("key"))
+    keys = firsts.where("k0 IS NOT NULL").select("h", F.explode(F.array(*HALVES)).alias("key"))
     shared = keys.groupBy("key").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("key")
-    return keys.join(shared, "key", "left_semi").select("h").distinct()
+    shared = materialize(shared, "shared-halves")
+    partners = materialize(keys.join(bounded(shared, BROADCAST_ROWS), "key", "left_semi").select("h").distinct(), "lines-with-partner")
+    drop_layer(shared)
+    return partners
 
 
 def variants(lines: DataFrame) -> DataFrame:
-    """(line_id, n, first, gap, key): each line whole (gap 0) and with each of its words deleted (gap = its place).
+    """(line_id, n, gap, key): each line whole (gap 0) and with each of its words deleted (gap = its place).
 
     The hashes of (word, place) are added up in two halves of 32 bits, whose sums
-    are exact for lines of up to 2**31 words.
+    are exact for lines of up to 2**31 words.  A line is dealt out before it is
+    exploded, so its words need not move again to be added up.
     """
     at = F.col("at")
+    parts = int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     exploded = (
-        lines.select("line_id", "n", "first", F.posexplode("words").alias("at", "word")).withColumn("at", at + 1)
-        .select("line_id", "n", "first", "at", F.xxhash64("word", at).alias("here"), F.xxhash64("word", at - 1).alias("moved"))
+        lines.repartition(parts, "line_id")
+        .select("line_id", "n", F.posexplode("words").alias("at", "word")).withColumn("at", at + 1)
+        .select("line_id", "n", "at", F.xxhash64("word", at).alias("here"), F.xxhash64("word", at - 1).alias("moved"))
     )
     line = Window.partitionBy("line_id")
     so_far = line.orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
     whole_key, gap_key = [], []
     for part in (lambda c: F.shiftrightunsigned(c, 32), lambda c: F.col(c).bitwiseAND(F.lit(0xFFFFFFFF))):
         here, moved = part("here"), part("moved")
-        before = F.sum(here).over(so_far) - here
+        before = F.sum(here).over(so_far)
         behind = F.sum(moved).over(line) - F.sum(moved).over(so_far)
-        gap_key.append(before + behind)
-        whole_key.append(F.sum(here))
-    deleted = exploded.select("line_id", "n", "first", F.col("at").alias("gap"), F.xxhash64(*gap_key).alias("key"))
-    whole = exploded.groupBy("line_id", "n", "first").agg(F.xxhash64(*whole_key).alias("key"))
-    return deleted.union(whole.select("line_id", "n", "first", F.lit(0).alias("gap"), "key"))
+        gap_key.append(before - here + behind)
+        whole_key.append(before)
+    # The key so far at the last word is that of the whole line.
+    keyed = exploded.select(
+        "line_id", "n", "at", F.xxhash64(*gap_key).alias("key"), F.when(at == F.col("n"), F.xxhash64(*whole_key)).alias("whole")
+    )
+    gaps = F.array(F.struct(at.alias("gap"), F.col("key").alias("key")))
+    both = F.when(F.col("whole").isNull(), gaps).otherwise(F.concat(gaps, F.array(F.struct(F.lit(0).alias("gap"), F.col("whole").alias("key")))))
+    return keyed.select("line_id", "n", F.explode(both).alias("v")).select("line_id", "n", "v.gap", "v.key")
 
 
 def equal_but_for(a: Column, b: Column, gap: Column) -> Column:
@@ -122,45 +135,51 @@ def repeated_lines(docs: DataFrame, id: str = "doc_id", text: str = "text", min_
     repeat with the same id and text are one document.
     """
     rows = numbered_lines(docs, id, text)
-    places = materialize(
-        rows.withColumn("n", word_count(F.col("line")).cast("int")).select(
-            "doc_id", "text_hash", "line_no", "h", "g", (F.col("line") != "").alias("has_words"),
-            F.when(F.col("n") >= min_words, half_keys("line", "n")).alias("keys"),
-        ), "line-places",
-    ).where("has_words")
+    counted = rows.withColumn("n", word_count(F.col("line")).cast("int"))
+    keys = [F.when(F.col("n") >= min_words, key).alias(name) for name, key in zip(HALVES, half_keys("line", "n"), strict=True)]
+    places = materialize(counted.where("line <> ''").select("doc_id", "text_hash", "line_no", "h", "g", *keys), "line-places")
     firsts = places.groupBy("h", "g").agg(F.min(place()).alias("first"))
-    partners = materialize(with_partner(places), "lines-with-partner")
-    chosen = materialize(
+    partners = with_partner(places)
+    # Numbered in the order of their first places, so a smaller number is an earlier line.
+    chosen = (
         rows.join(bounded(partners, BROADCAST_ROWS), "h", "left_semi")
         .groupBy("h", "g").agg(F.min(place()).alias("first"), F.any_value("line").alias("line"))
-        .select(F.monotonically_increasing_id().alias("line_id"), "h", "g", "first", F.split("line", " ").alias("words"))
+    )
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chosen = materialize(
+        chosen.repartitionByRange(parts, "first").sortWithinPartitions("first")
+        .select(F.monotonically_increasing_id().alias("line_id"), "h", "g", F.split("line", " ").alias("words"))
         .withColumn("n", F.size("words")), "distinct-lines",
     )
-    keyed = materialize(variants(chosen.select("line_id", "n", "first", "words")), "line-variants")
-    gone = near_earlier(keyed, chosen)
-    near = chosen.join(gone, "line_id", "left_semi").select("h", "g", F.lit(True).alias("near"))
+    keyed = materialize(variants(chosen), "line-variants")
+    near = materialize(
+        chosen.select("line_id", "h", "g").join(near_earlier(keyed, chosen), "line_id", "left_semi").select("h", "g", F.lit(True).alias("near")),
+        "near-lines",
+    )
+    for layer in (partners, keyed, chosen):
+        drop_layer(layer)
     return (
-        places.join(firsts, ["h", "g"]).join(near, ["h", "g"], "left")
+        places.drop(*HALVES).join(firsts, ["h", "g"]).join(bounded(near, BROADCAST_ROWS), ["h", "g"], "left")
         .where(F.coalesce("near", F.lit(False)) | (place() > F.col("first"))).select("doc_id", "text_hash", "line_no")
     )
 
 
 def near_earlier(keyed: DataFrame, chosen: DataFrame) -> DataFrame:
-    """Ids of the lines that have an earlier line at one edit."""
+    """Ids of the lines that have an earlier line at one edit; ids rise with the lines' places."""
     deleted, whole = keyed.where("gap > 0"), keyed.where("gap = 0")
     # Replaced: same length, same gap, same rest.  The earliest of the group stands for all.
-    earliest = deleted.groupBy("n", "gap", "key").agg(F.min(F.struct("first", "line_id")).alias("head"))
+    earliest = deleted.groupBy("n", "gap", "key").agg(F.min("line_id").alias("other"), F.max("line_id").alias("last")).where("other < last")
     replaced = (
-        deleted.join(earliest, ["n", "gap", "key"]).where(F.col("head.line_id") != F.col("line_id"))
-        .select("line_id", F.col("head.line_id").alias("other"), "gap", F.lit("replaced").alias("edit"))
+        deleted.join(earliest.drop("last"), ["n", "gap", "key"]).where("other < line_id")
+        .select("line_id", "other", "gap", F.lit("replaced").alias("edit"))
     )
     # Inserted or deleted: the longer line's variant is the shorter line.
-    longer = deleted.select((F.col("n") - 1).alias("n"), "key", F.col("line_id").alias("long"), F.col("first").alias("long_first"), "gap")
-    pair = longer.join(whole.select("n", "key", F.col("line_id").alias("short"), F.col("first").alias("short_first")), ["n", "key"])
-    later_long = pair.where("short_first < long_first").select(F.col("long").alias("line_id"), F.col("short").alias("other"), "gap", F.lit("longer").alias("edit"))
+    longer = deleted.select((F.col("n") - 1).alias("n"), "key", F.col("line_id").alias("long"), "gap")
+    pair = longer.join(whole.select("n", "key", F.col("line_id").alias("short")), ["n", "key"])
+    later_long = pair.where("short < long").select(F.col("long").alias("line_id"), F.col("short").alias("other"), "gap", F.lit("longer").alias("edit"))
     # A short line may be the rest of very many longer ones; the earliest settles it.
     later_short = (
-        pair.where("long_first < short_first").groupBy("short").agg(F.min(F.struct("long_first", "long", "gap")).alias("head"))
+        pair.where("long < short").groupBy("short").agg(F.min(F.struct("long", "gap")).alias("head"))
         .select(F.col("short").alias("line_id"), F.col("head.long").alias("other"), F.col("head.gap").alias("gap"), F.lit("shorter").alias("edit"))
     )
     edges = replaced.union(later_long).union(later_short).distinct()
