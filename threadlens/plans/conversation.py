@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
-from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.clock import day_edge
 from ..operators import analytics, budget, filters, identity, merge, sequences
@@ -30,51 +27,34 @@ class Conversation:
 HEADER_COLUMNS = ("file_id", "channel_id", "base_name", "after_date", "exported_at", "invalid", "error")
 
 
-def _loadable(file_id: str) -> str:
-    """A file's metadata path as a path to load: decoded, glob characters escaped."""
-    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file_id))
-
-
 def read_exports(
     spark: SparkSession, path: str, options: Options = Options(), mapping: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """All export files below ``path`` as ``(files, raw_messages)``.
 
-    An invalid file stays in ``files`` with its error and adds no messages.
-    The lists of paths that reach the driver are those any file scan needs.
+    An invalid file stays in ``files`` with its error and adds no messages.  Each
+    format is one scan of the folder that takes its own files; superseded uploads
+    leave with the join to ``files``, so no list of paths reaches the driver.
     """
     listed = catalog.latest_uploads(catalog.with_format(catalog.list_files(spark, path)))
     listed = materialize(listed, "files")
-    by_format = {
-        r["format"]: [_loadable(p) for p in r["paths"]]
-        for r in listed.groupBy("format").agg(F.collect_list("file_id").alias("paths")).collect()
-    }
-    heads, bodies = [], []
-    if paths := by_format.get("json"):
-        fragments = json_export.read_fragments(spark, *paths)
-        heads.append(json_export.headers(fragments))
-        bodies.append(json_export.scan(fragments))
-    if paths := by_format.get("txt"):
-        lines = txt_export.read_lines(spark, *paths)
-        heads.append(txt_export.headers(lines))
-        bodies.append(txt_export.scan(lines, options.txt_timezone))
-    if paths := by_format.get("html"):
-        layouts = materialize(html_export.layouts(spark, *paths), "html-layouts")
-        named = catalog.html_names(listed.where("format = 'html'")).join(layouts, "file_id", "left")
-        error = F.when(F.col("marker").isNull(), "No messages found").when(F.col("mixed"), "Mixed markup")
-        heads.append(named.select(
-            "file_id", "channel_id", "base_name", "after_date",
-            F.lit(None).cast("timestamp").alias("exported_at"), error.isNotNull().alias("invalid"), error.alias("error"),
-        ))
-        spelled = layouts.where("marker IS NOT NULL AND NOT mixed").groupBy("marker").agg(F.collect_list("file_id").alias("paths"))
-        for r in spelled.collect():
-            pieces = html_export.read_fragments(spark, *map(_loadable, r["paths"]), marker=r["marker"])
-            bodies.append(html_export.scan(pieces, options.txt_timezone))
-    if not heads:
+    if listed.isEmpty():
         raise ValueError(f"no export files below {path}")
-    if not bodies:
-        own = [f for f in RAW_MESSAGE.fields if f.name not in ("channel_id", "file_idx", "grp_file_idx")]
-        bodies.append(spark.createDataFrame([], StructType([StructField("file_id", StringType()), *own])))
+    kind = catalog.format_of(F.col("file_id"))
+    json_heads, elements = json_export.read(spark, path, where=kind == "json")
+    lines = txt_export.read_lines(spark, path).where(kind == "txt")
+    boxes = html_export.markup(html_export.read_fragments(spark, path).where(kind == "html"))
+    found = boxes.select("file_id", F.lit(True).alias("found")).distinct()
+    error = F.when(F.col("found").isNull(), "No messages found")
+    html_heads = catalog.html_names(listed.where("format = 'html'")).join(found, "file_id", "left").select(
+        "file_id", "channel_id", "base_name", "after_date",
+        F.lit(None).cast("timestamp").alias("exported_at"), error.isNotNull().alias("invalid"), error.alias("error"),
+    )
+    heads = [json_heads, txt_export.headers(lines), html_heads]
+    bodies = [
+        json_export.to_raw_messages(elements), txt_export.scan(lines, options.txt_timezone),
+        html_export.to_raw_messages(boxes, options.txt_timezone),
+    ]
     head, body = heads[0], bodies[0]
     for other in heads[1:]:
         head = head.unionByName(other)

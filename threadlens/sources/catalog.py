@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -43,11 +45,19 @@ def _decoded(path: Column) -> Column:
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
-def with_format(files: DataFrame) -> DataFrame:
+def format_of(name: Column) -> Column:
     """``json`` and ``txt`` by extension, anything else is read as ``html``."""
-    low = F.lower("name")
-    kind = F.when(low.endswith(".txt"), "txt").when(low.endswith(".json"), "json")
-    return files.withColumn("format", kind.otherwise("html"))
+    low = F.lower(name)
+    return F.when(low.endswith(".txt"), "txt").when(low.endswith(".json"), "json").otherwise("html")
+
+
+def with_format(files: DataFrame) -> DataFrame:
+    return files.withColumn("format", format_of(F.col("name")))
+
+
+def loadable(file_id: str) -> str:
+    """A file's metadata path as a path to load: decoded, glob characters escaped."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", unquote(file_id))
 
 
 def html_names(files: DataFrame) -> DataFrame:

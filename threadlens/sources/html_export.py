@@ -1,14 +1,23 @@
 """HTML exports.
 
-The text source cuts a file at its message groups, so one large file is read by
-many tasks.  Python only takes a fragment's markup apart (``html.parser``, in
-Arrow batches); ids, times, tokens and reply rules are Column expressions.
+The text source cuts a file at the class name of its message groups, wherever it
+stands, so one large file is read by many tasks.  Whether a cut opens a group is
+decided by content: the tag that the cut falls into must be unfinished there and
+be inside its class attribute.  A cut anywhere else (in text, in a style, in
+another attribute) is undone by feeding on.  What a block of the file has before
+its first opening, and its last group, may belong together with other blocks'
+edges; they are written out as they are and glued in a second, small step.
+
+Python takes the markup apart (``html.parser``, in bounded batches); ids, times,
+tokens and reply rules are Column expressions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Iterable, Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,12 +26,17 @@ from pyspark.sql import functions as F
 from ..functions.chars import js_trim, non_empty, u16_clip
 from ..functions.clock import parse_title_time, snowflake_to_ts
 from ..functions.parts import media_token, url_file_name
-from .json_export import with_positions
+from ..operators.ordered import MAX_GROUP_ROWS, running_sum, slice_groups
+from ..session import materialize, small_batches
 
-# Markup is escaped in message text, so a group's opening cannot occur inside a message.
 GROUP = "chatlog__message-group"
-GROUP_OPENING = rf"<div[^<>]*?\b{GROUP}(?=[\s\"'>])"
-GROUP_QUOTED = f'<div class="{GROUP}'
+BOX = "chatlog__message-container"
+#: An unfinished tag up to the start of a name in its class attribute.
+BEFORE_NAME = re.compile(
+    r"""<[a-z](?:[^"'>]|"[^"]*"|'[^']*')*?[\s"'/]class\s*=\s*(?:"(?:[^"]*\s)?|'(?:[^']*\s)?|)$""", re.IGNORECASE
+)
+AFTER_NAME = re.compile(r"[\s\"'/>]")
+ROWS = 2000
 
 PLACEHOLDERS = ("Click to see original", "Click to see attachment")  # fixed values
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -34,6 +48,7 @@ MARKUP = (
     " files array<string>, embeds array<struct<video boolean, provider string, title string>>,"
     " sticker boolean, reactions array<struct<emoji string, n string>>"
 )
+EDGE = "block bigint, edge string, text string, n bigint"
 
 
 class _Node:
@@ -100,14 +115,13 @@ def _text(node: _Node | None) -> str | None:
     return None if node is None else node.text()
 
 
-def _take_apart(file_id: str, fragment: str) -> Iterator[tuple]:
-    tree = _Tree()
-    tree.feed(fragment.partition(">")[2])  # what the opening has left of its attributes
+def _take_apart(file_id: str, tree: _Tree) -> Iterator[tuple]:
+    """Message rows of a group, which is the first element of its tree; the position is added by the caller."""
     tree.close()
-    group = tree.root
+    group = next(x for x in tree.root.items if isinstance(x, _Node))
     author = group.one("chatlog__author") or group.one("chatlog__system-notification-author")
     who = author.attrs if author else {}
-    for box in group.all("chatlog__message-container"):
+    for box in group.all(BOX):
         stamp = box.one(
             "chatlog__timestamp", "chatlog__short-timestamp", "chatlog__system-notification-timestamp"
         )
@@ -142,55 +156,128 @@ def _take_apart(file_id: str, fragment: str) -> Iterator[tuple]:
 
 MARKUP_COLUMNS = [c.split()[0] for c in MARKUP.replace("struct<video boolean, provider string, title string>", "x")
                   .replace("struct<emoji string, n string>", "x").split(", ")]
+EDGE_COLUMNS = [c.split()[0] for c in EDGE.split(", ")]
 
 
-def _parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Message rows of the groups.
+def _groups(records: Iterable[str], from_start: bool) -> Iterator[tuple[str, _Tree, list[str], int]]:
+    """(kind, tree, raw pieces, cut that opened it) of what a run of records holds, in order.
 
-    A group may hold many messages, so positions go on from the last message of
-    the block: never behind the group's own position, and, as a message takes
-    more than a byte, never beyond the start of the next block.
+    Before each record but a file's first stands the group's name.  Kinds: ``head``,
+    what comes before the first opening where the run is not ``from_start`` of a
+    file; ``group``; and ``tail``, the last group, which may go on after the run.
     """
-    last_file, last_pos, free = None, -1, 0
-    for batch in batches:
-        rows = []
-        for file_id, pos, value in zip(batch["file_id"], batch["pos"], batch["value"]):
-            if file_id != last_file or pos < last_pos or pos > free:
-                free = pos
-            last_file, last_pos = file_id, pos
-            for _, *rest in _take_apart(file_id, value):
-                rows.append((file_id, free, *rest))
-                free += 1
-        out = pd.DataFrame(rows, columns=MARKUP_COLUMNS)
-        out["embeds"] = [[dict(zip(("video", "provider", "title"), e)) for e in es] for es in out["embeds"]]
-        out["reactions"] = [[dict(zip(("emoji", "n"), r)) for r in rs] for rs in out["reactions"]]
-        yield out
-
-
-def layouts(spark: SparkSession, *paths: str) -> DataFrame:
-    """``file_id, marker, mixed``: how a file opens its groups, up to the class name; null without groups.
-
-    The class may stand anywhere in a list, quoted or not.  A file is cut at its
-    own spelling, so one that mixes spellings can't be read.
+    tree, pieces, opened, at = _Tree(), [], False, 0
+    for k, record in enumerate(records):
+        text = record if k == 0 and from_start else GROUP + record
+        unfinished = tree.rawdata
+        if k and BEFORE_NAME.match(unfinished) and AFTER_NAME.match(record):
+            before = "".join(pieces)
+            pieces = [before[: len(before) - len(unfinished)]]
+            if opened:
+                yield "group", tree, pieces, at
+            elif not from_start:
+                yield "head", tree, pieces, at
+            tree, pieces, opened, at = _Tree(), [], True, k
+            text = unfinished + text
+        tree.feed(text)
+        pieces.append(text)
+    if opened:
+        yield "tail", tree, pieces, at
+    elif not from_start and pieces:
+        yield "head", tree, pieces, at
+
+
+def _frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Rows in frames of a bounded number."""
+    held = []
+    for row in rows:
+        held.append(row)
+        if len(held) == ROWS:
+            yield _frame(held, columns)
+            held = []
+    if held:
+        yield _frame(held, columns)
+
+
+def _frame(rows: list[tuple], columns: list[str]) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=columns)
+    out["embeds"] = [[dict(zip(("video", "provider", "title"), e)) for e in es or ()] for es in out["embeds"]]
+    out["reactions"] = [[dict(zip(("emoji", "n"), r)) for r in rs or ()] for rs in out["reactions"]]
+    return out
+
+
+NO_MARKUP = (None,) * (len(MARKUP_COLUMNS) - 1)
+NO_EDGE = (None,) * len(EDGE_COLUMNS)
+
+
+def _parse_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Message rows of the groups that lie inside a block, and the block's edges.
+
+    A message's position is its block's start plus the messages of the block
+    before it.  Every message has the name of its box, which is many bytes long,
+    so positions stay below the start of the next block that opens a group.
     """
-    lines = spark.read.text(list(paths)).select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.explode_outer(F.regexp_extract_all("value", F.lit(GROUP_OPENING), F.lit(0))).alias("marker"),
-    )
-    return lines.groupBy("file_id").agg(
-        F.min("marker").alias("marker"), (F.min("marker") != F.max("marker")).alias("mixed")
-    )
 
-
-def read_fragments(spark: SparkSession, *paths: str, marker: str = GROUP_QUOTED) -> DataFrame:
-    """``file_id, pos, value``: one row per message group."""
-    rows = spark.read.format("text").option("lineSep", marker).load(list(paths)).select(
-        F.col("_metadata.file_path").alias("file_id"),
-        F.col("_metadata.file_block_start").alias("block"),
-        "value",
+    def rows() -> Iterator[tuple]:
+        lines = (r for batch in batches for r in zip(batch["file_id"], batch["block"], batch["value"]))
+        for (file_id, block), run in groupby(lines, key=lambda r: r[:2]):
+            n = 0
+            for kind, tree, pieces, _ in _groups((r[2] for r in run), block == 0):
+                if kind == "group":
+                    for row in _take_apart(file_id, tree):
+                        yield (file_id, block + n, *row, *NO_EDGE)
+                        n += 1
+                    continue
+                text = "".join(pieces)
+                yield (file_id, *NO_MARKUP, block, kind, text, n)
+                n += text.count(BOX)
+
+    yield from _frames(rows(), MARKUP_COLUMNS + EDGE_COLUMNS)
+
+
+def _parse_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Message rows of glued edges: a block's tail and the heads that follow it."""
+
+    def rows() -> Iterator[tuple]:
+        lines = (r for batch in batches for r in zip(batch["file_id"], batch["run"], batch["block"], batch["text"], batch["n"]))
+        for (file_id, _), run in groupby(lines, key=lambda r: r[:2]):
+            parts = list(run)
+            # which part each cut lies in: numbers of cuts up to the end of every part
+            cuts, next_free = [], [block + n for _, _, block, _, n in parts]
+            for _, _, _, text, _ in parts:
+                cuts.append((cuts[-1] if cuts else 0) + text.count(GROUP))
+            for _, tree, _, at in _groups("".join(p[3] for p in parts).split(GROUP), True):
+                part = next(k for k, upto in enumerate(cuts) if at <= upto)
+                for row in _take_apart(file_id, tree):
+                    yield (file_id, next_free[part], *row)
+                    next_free[part] += 1
+
+    yield from _frames(rows(), MARKUP_COLUMNS)
+
+
+def read_fragments(spark: SparkSession, *paths: str) -> DataFrame:
+    """``file_id, block, value``: the pieces of the files between the groups' class names, in order inside a task."""
+    rows = spark.read.format("text").option("lineSep", GROUP).option("recursiveFileLookup", True).load(list(paths))
+    return rows.select(F.col("_metadata.file_path").alias("file_id"), F.col("_metadata.file_block_start").alias("block"), "value")
+
+
+def markup(fragments: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    """One row per message box with its markup taken apart; written out, since the edges are read again.
+
+    A glued run is as large as the group that spans blocks, however many there are.
+    """
+    layer = materialize(small_batches(fragments).mapInPandas(_parse_blocks, f"{MARKUP}, {EDGE}"), "html-markup")
+    edges = layer.where("edge IS NOT NULL").select("file_id", *EDGE_COLUMNS)
+    place = slice_groups(edges.select("file_id", "block", "edge"), ["file_id"], ["block", "edge"], max_rows)
+    place = running_sum(place, F.when(F.col("edge") == "tail", 1).otherwise(0), "run").result()
+    runs = edges.join(place, ["file_id", "block", "edge"]).where("run > 0")
+    parts = int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = ["file_id", "run"]
+    glued = (
+        runs.repartition(parts, *keys).sortWithinPartitions(*keys, "block", "edge").select(*keys, "block", "text", "n")
+        .mapInPandas(_parse_runs, MARKUP)
     )
-    # what precedes the first group starts a document, not an attribute list
-    return with_positions(rows).where(F.col("value").rlike(r"^[^<>]*>"))
+    return layer.where("edge IS NULL").select(*MARKUP_COLUMNS).unionByName(glued)
 
 
 def _embed_token(e: Column) -> Column:
@@ -251,5 +338,5 @@ def to_raw_messages(markup: DataFrame, tz: str = "UTC") -> DataFrame:
     return out.where(F.col("ts").isNotNull() & has_body)
 
 
-def scan(fragments: DataFrame, tz: str = "UTC") -> DataFrame:
-    return to_raw_messages(fragments.mapInPandas(_parse_batches, MARKUP), tz)
+def scan(fragments: DataFrame, tz: str = "UTC", max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+    return to_raw_messages(markup(fragments, max_rows), tz)

@@ -4,8 +4,8 @@ An indented export starts every message with four blanks and ``{``, and ends it
 the same line or with a line of four blanks and ``}``.
 A raw line break cannot occur inside a JSON string, so that line is a safe
 record separator: the text source splits one large file over many tasks at
-message borders.  An export without that layout arrives as one record holding
-the whole document and is parsed as such.
+message borders.  ``read`` takes a file of any other layout, and one that only
+looks like this, by its structure (``json_structure``).
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from ..functions.names import display_name
 from ..functions.parts import media_token
 from ..operators.skew import HOT_ROWS, join_dimension
 from ..schema import JSON_EXPORT, JSON_EXPORT_HEAD, JSON_MESSAGE
-from .catalog import ROW_MASK, join_names
+from ..session import materialize
+from . import json_structure
+from .catalog import ROW_MASK, join_names, loadable
 
 SEPARATOR = "\n    {"
 MESSAGE_END = "\n    }"
@@ -37,12 +39,14 @@ SYSTEM_KINDS = (
 )
 
 CORRUPT = "_corrupt_record"
+#: Files of another layout up to this number are read by their names; with more, all files are read and theirs kept.
+NAMED_FILES = 1000
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
 def read_fragments(spark: SparkSession, *paths: str) -> DataFrame:
     """``file_id, pos, value``: the pieces of the files between separators."""
-    src = spark.read.format("text").option("lineSep", SEPARATOR).load(list(paths))
+    src = spark.read.format("text").option("lineSep", SEPARATOR).option("recursiveFileLookup", True).load(list(paths))
     return with_positions(
         src.select("value", F.col("_metadata.file_path").alias("file_id"),
                    F.col("_metadata.file_block_start").alias("block"))
@@ -69,6 +73,11 @@ def headers(fragments: DataFrame) -> DataFrame:
     A file is invalid when its JSON does not parse, when it has no message
     list, or when the document is cut off.
     """
+    return _described(_line_heads(fragments))
+
+
+def _line_heads(fragments: DataFrame) -> DataFrame:
+    """``file_id, d, bad, lined``: the head, whether something doesn't parse, whether messages are on lines of their own."""
     v = F.col("value")
     head_text = F.when(_is_split_head(v), F.concat(v, F.lit("]}"))).otherwise(v)
     is_doc = _is_document(v)
@@ -84,23 +93,24 @@ def headers(fragments: DataFrame) -> DataFrame:
         "pos",
         F.when(is_doc, F.col("pos")).alias("at"),
         F.when(is_doc, doc).alias("d"),
+        F.when(is_doc, _is_split_head(v)).alias("lined"),
         F.when(~is_doc, body[CORRUPT].isNotNull()).alias("bad"),
         F.when(~is_doc, rest).alias("rest"),
     )
     h = h.groupBy("file_id").agg(
         F.min_by("d", "at").alias("d"),
+        F.coalesce(F.min_by("lined", "at"), F.lit(False)).alias("lined"),
         F.bool_or("bad").alias("bad"),
         F.max_by("rest", "pos").alias("rest"),
     )
+    bad = F.coalesce("bad", F.lit(False)) | ~F.coalesce(F.col("rest").rlike(r"(?s)^\s*\].*\}\s*$"), F.lit(True))
+    return h.select("file_id", "d", bad.alias("bad"), "lined")
+
+
+def _described(h: DataFrame) -> DataFrame:
     d = F.col("d")
-    bad_json = (
-        d.isNull()
-        | d[CORRUPT].isNotNull()
-        | F.coalesce(F.col("bad"), F.lit(False))
-        | ~F.coalesce(F.col("rest").rlike(r"(?s)^\s*\].*\}\s*$"), F.lit(True))
-    )
-    no_list = d["messages"].isNull()
-    error = F.when(bad_json, "Invalid JSON").when(no_list, 'Missing a "messages" array.')
+    bad_json = d.isNull() | d[CORRUPT].isNotNull() | F.col("bad")
+    error = F.when(bad_json, "Invalid JSON").when(d["messages"].isNull(), 'Missing a "messages" array.')
     channel = d["channel"]
     return h.select(
         "file_id",
@@ -117,6 +127,33 @@ def headers(fragments: DataFrame) -> DataFrame:
     )
 
 
+def read(spark: SparkSession, *paths: str, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(headers, messages)`` of all JSON files below ``paths``, whatever their layout.
+
+    ``messages`` has ``file_id, msg_idx, m``.  ``where`` selects files by their
+    ``file_id``.  Files are tried by lines first; those that are not laid out so, or
+    don't parse so, are cut by their structure.
+    """
+    keep = F.lit(True) if where is None else where
+    fragments = read_fragments(spark, *paths).where(keep)
+    heads = materialize(_line_heads(fragments), "json-heads")
+    d = F.col("d")
+    fits = F.coalesce(F.col("lined") & ~F.col("bad") & d[CORRUPT].isNull() & d.isNotNull(), F.lit(False))
+    others = heads.where(~fits).select("file_id")
+    names = [r["file_id"] for r in others.limit(NAMED_FILES + 1).collect()]
+    if not names:
+        return _described(heads), explode_messages(fragments)
+    regular = explode_messages(fragments).join(heads.where(fits).select("file_id"), "file_id", "left_semi")
+    if len(names) <= NAMED_FILES:
+        braces = json_structure.read_braces(spark, *map(loadable, names))
+    else:
+        braces = json_structure.read_braces(spark, *paths).where(keep).join(others, "file_id", "left_semi")
+    messages, frames = json_structure.pieces(spark, braces)
+    elements, found = json_structure.parsed(messages, frames)
+    described = _described(heads.where(fits).select("file_id", "d", "bad").unionByName(found))
+    return described, regular.unionByName(elements)
+
+
 def _first_line(value: Column) -> Column:
     return F.substring_index(value, "\n", 1)
 
@@ -257,4 +294,5 @@ def to_raw_messages(messages: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def scan(fragments: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Raw messages of files in the line layout, or of documents small enough to be one record each."""
     return to_raw_messages(explode_messages(fragments), hot_rows)

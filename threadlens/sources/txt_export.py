@@ -45,7 +45,7 @@ SYSTEM_TEXTS = (
 
 def read_lines(spark: SparkSession, *paths: str) -> DataFrame:
     """``file_id, block, pos, line``"""
-    rows = spark.read.format("text").option("lineSep", "\n").load(list(paths)).select(
+    rows = spark.read.format("text").option("lineSep", "\n").option("recursiveFileLookup", True).load(list(paths)).select(
         F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("block"),
         F.regexp_replace("value", "\r$", "").alias("line"),
