@@ -1,6 +1,8 @@
 import json
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from datetime import datetime, timedelta, timezone
 
 from threadlens.functions.tokens import chars_for_tokens, effective_budget, estimate_tokens
 from threadlens.operators import budget as B
+from threadlens.sinks import export
 from threadlens.streaming import ingest
 
 
@@ -35,7 +38,7 @@ def test_trim_keeps_the_most_that_fits(make_msgs, rows, keywords):
     def size(k):
         keep = set(normal[len(normal) - k:])
         kept = [r for i, r in enumerate(rows) if prio[i] or i in keep]
-        text = expected_txt(kept, int(limit / 4 + 0.5)) if kept else B.EMPTY_TEXT
+        text = expected_txt(kept, int(limit / 4 + 0.5)) if kept else B.txt.EMPTY_TEXT
         return len(text.encode("utf-16-le")) // 2
 
     best = max(k for k in range(len(normal) + 1) if size(k) <= limit)
@@ -77,15 +80,42 @@ def test_chunks(make_msgs, rows):
             break
         start = max(start + 1, end - 3)
     assert len(want) > 5
-    for limit in (1000, 7):
+    for limit, slice_rows in ((1000, 1 << 20), (7, 8), (1000, 3), (1000, 1)):
         costs = B.materialize(B.index_costs(m, limit), "t")
-        got = B.chunk_bounds(costs, 450, 3, limit).orderBy("chunk").collect()
+        got = B.chunk_bounds(costs, 450, 3, limit, slice_rows).orderBy("chunk").collect()
         assert [(r["start"], r["end"]) for r in got] == want
         assert [r["chunk"] for r in got] == list(range(1, len(want) + 1))
     members = B.chunk_messages(m, 450, 3).groupBy("chunk").count().orderBy("chunk").collect()
     assert [r["count"] for r in members] == [e - s for s, e in want]
 
 
+def test_exits_against_single_steps():
+    rnd = random.Random(8)
+    for n in (1, 2, 50):
+        to = np.array([i + rnd.choice([1, 1, 2, 7, B.BEYOND]) for i in range(n)])
+        want = []
+        for i in range(n):
+            while i < n:
+                i = to[i]
+            want.append(i)
+        assert B._exits(to).tolist() == want
+
+
+def test_written_chunks_are_the_members(make_msgs, rows, spark, tmp_path):
+    """Every chunk is a document of its own under a safe name, the overlap in both."""
+    m = as_msgs(make_msgs, rows)
+    files = spark.createDataFrame([("c", 'bad/na:me?. ', 0), ("c", "later", 1)], "channel_id string, base_name string, file_idx int")
+    export.write_chunks(m, people(m), files, "txt", str(tmp_path / "out"), 450, 3)
+    want = {f"bad_na_me_._part{r['chunk']}": r["n"] for r in B.chunk_messages(m, 450, 3).groupBy("chunk").agg(F.count("*").alias("n")).collect()}
+    got = {}
+    for folder in (tmp_path / "out").glob("channel_id=*"):
+        text = "".join(p.read_text() for p in sorted(folder.glob("part-*.txt")))
+        head = text.split("\n\n", 1)[0]
+        got[folder.name.split("=", 1)[1]] = sum(int(n) for n in re.findall(r"\((\d+) msgs", head))
+    assert sorted(got.values()) == sorted(want.values()) and len(got) > 5
+    assert all(name.startswith("bad_na_me_") for name in got)
+
+
 def test_ingest_stream(spark, tmp_path):
     src = tmp_path / "in"
     src.mkdir()

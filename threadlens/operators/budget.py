@@ -8,9 +8,12 @@ out a narrow table of positions and sizes again.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,9 @@ from .filters import drop_low_activity, matches_keywords
 from .ordered import MAX_GROUP_ROWS, largest_group, row_numbers, running_sum, slice_groups
 
 ORDER = ("ts", "file_idx", "msg_idx")
-EMPTY_TEXT = "No messages found or file empty."
 CHUNK_BUCKET = 1024
+SLICE_ROWS = 1 << 20
+BEYOND = 1 << 62
 
 
 @dataclass(frozen=True)
@@ -258,7 +262,7 @@ def trim(
         F.lit(-1).cast("bigint").alias("lo"), (F.col("n_normal") + 1).alias("hi"),
         unknown.alias("lo_size"), unknown.alias("hi_size"), unknown.alias("zero_size"),
     ), "trim-state")
-    empty = msgs.sparkSession.range(1).select(F.floor((measure.size(F.lit(EMPTY_TEXT)) + 50) / 100)).first()[0]
+    empty = msgs.sparkSession.range(1).select(F.floor((measure.size(F.lit(txt.EMPTY_TEXT)) + 50) / 100)).first()[0]
     fits = F.col("size") <= measure.limit
     while not (active := state.where("hi - lo > 1")).isEmpty():
         wanted = active.select("channel_id", F.explode(_candidates()).alias("k"))
@@ -322,39 +326,113 @@ def chunk_ends(costs: DataFrame, max_chars: int, max_rows: int = MAX_GROUP_ROWS)
     return ends.select("channel_id", "idx", F.greatest(F.col("idx") + 1, F.col("__n")).alias("end"))
 
 
+def _exits(to: np.ndarray) -> np.ndarray:
+    """Where a walk leaves a slice, from each of its places; ``to`` holds the next place, beyond the slice if that is outside.
+
+    Jumps lead forward only, so taking every jump twice at once halves the steps that remain.
+    """
+    out = to.copy()
+    while (inside := out < len(to)).any():
+        out[inside] = out[out[inside]]
+    return out
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(channel, first place, next place from each, end of the chunk from each, entries) of every slice in sorted batches."""
+    held: list[pa.RecordBatch] = []
+
+    def whole():
+        t = pa.Table.from_batches(held)
+        entries = t.column("entry")[0].as_py() if "entry" in t.column_names else None
+        return t.column("channel_id")[0].as_py(), t.column("idx")[0].as_py(), t.column("to").to_numpy(), t.column("end").to_numpy(), entries
+
+    def name(part: pa.RecordBatch) -> tuple:
+        return part.column("channel_id")[0].as_py(), part.column("slice")[0].as_py()
+
+    for batch in batches:
+        channel = batch.column("channel_id").dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+        place = batch.column("slice").to_numpy()
+        cuts = np.flatnonzero((channel[1:] != channel[:-1]) | (place[1:] != place[:-1])) + 1
+        for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            part = batch.slice(begin, end - begin)
+            if held and part.num_rows and name(held[0]) != name(part):
+                yield whole()
+                held.clear()
+            if part.num_rows:
+                held.append(part)
+    if held:
+        yield whole()
+
+
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exit of every entry of a slice, as steps: a later entry never leaves earlier, so few rows hold all."""
+    for channel, first, to, _, _ in _slices(batches):
+        exits = _exits(to - first) + first
+        at = np.flatnonzero(np.diff(exits, prepend=exits[0] - 1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([channel] * len(at), pa.string()), pa.array([first] * len(at), pa.int64()), pa.array(at + first), pa.array(exits[at])],
+            ["channel_id", "first", "entry", "exit"],
+        )
+
+
+def _entries(steps: pd.DataFrame) -> pd.DataFrame:
+    """Where a channel's walk enters its slices, from the steps of all of them in order."""
+    steps = steps.sort_values("entry")
+    first, entry, out = steps["first"].to_numpy(), steps["entry"].to_numpy(), steps["exit"].to_numpy()
+    place, rows = 0, []
+    while len(entry):
+        k = int(np.searchsorted(entry, place, "right")) - 1
+        rows.append((first[k], place))
+        if out[k] >= BEYOND:
+            break
+        place = int(out[k])
+    found = pd.DataFrame(rows, columns=["first", "entry"]).astype("int64")
+    found.insert(0, "channel_id", steps["channel_id"].iloc[0])
+    return found
+
+
+def _walks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks that start in each slice, from its entry on."""
+    for channel, first, to, end, entry in _slices(batches):
+        starts, at = [], entry - first
+        while at < len(to):
+            starts.append(at)
+            at = int(to[at]) - first
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([channel] * len(starts), pa.string()), pa.array([s + first for s in starts], pa.int64()), pa.array(end[starts])],
+            ["channel_id", "start", "end"],
+        )
+
+
 def chunk_bounds(
-    costs: DataFrame, max_tokens: int, overlap: int = 500, max_rows: int = MAX_GROUP_ROWS
+    costs: DataFrame, max_tokens: int, overlap: int = 500, max_rows: int = MAX_GROUP_ROWS, slice_rows: int = SLICE_ROWS
 ) -> DataFrame:
     """``channel_id, chunk, start, end`` of overlapping chunks (end excluded).
 
     Each message knows where the next chunk would start if one started at it.
-    The starts actually used are those reachable from the first message; they
-    are found by doubling the step length, in log2(chunks) joins, instead of
-    walking a channel from end to end.
+    A channel is cut into slices; inside a slice those jumps are composed, which
+    gives for every place at which a walk may enter the place at which it leaves.
+    That map rises in few steps, so a channel's walk over its slices is a walk
+    over a small table, a few rows for every ``slice_rows`` messages.  Knowing its
+    entry, each slice then lists its own chunks.
     """
     max_chars = chars_for_tokens(effective_budget(max_tokens))
     sizes = costs.groupBy("channel_id").agg(F.count("*").alias("n"))
-    ends = materialize(chunk_ends(costs, max_chars, max_rows).join(sizes, "channel_id"), "chunk-ends")
-    jump = ends.where("end < n").select(
-        "channel_id", "idx", F.greatest(F.col("idx") + 1, F.col("end") - overlap).alias("to")
-    )
-    reach = ends.where("idx = 0").select("channel_id", "idx")
-    known = reach.count()
-    while True:
-        landed = reach.join(jump, ["channel_id", "idx"]).select("channel_id", F.col("to").alias("idx"))
-        reach = materialize(reach.unionByName(landed).distinct(), "chunk-starts")
-        size = reach.count()
-        if size == known:
-            break
-        known = size
-        far = jump.select("channel_id", F.col("idx").alias("to"), F.col("to").alias("far"))
-        jump = materialize(jump.join(far, ["channel_id", "to"]).select(
-            "channel_id", "idx", F.col("far").alias("to")
-        ), "chunk-jumps")
-    used = reach.join(ends, ["channel_id", "idx"]).select(
-        "channel_id", F.col("idx").alias("start"), "end"
-    )
-    o = row_numbers(slice_groups(used, ["channel_id"], ["start"], max_rows), "chunk")
+    ends = chunk_ends(costs, max_chars, max_rows).join(sizes, "channel_id")
+    # The chunk that reaches the end is the last.
+    to = F.when(F.col("end") < F.col("n"), F.greatest(F.col("idx") + 1, F.col("end") - overlap)).otherwise(F.lit(BEYOND))
+    jumps = materialize(ends.select("channel_id", F.floor(F.col("idx") / slice_rows).alias("slice"), "idx", to.alias("to"), "end"), "chunk-jumps")
+    parts = int(costs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def by_slice(rows: DataFrame) -> DataFrame:
+        return rows.repartition(parts, "channel_id", "slice").sortWithinPartitions("channel_id", "slice", "idx")
+
+    steps = by_slice(jumps).mapInArrow(_steps, "channel_id string, first bigint, entry bigint, exit bigint")
+    entries = steps.groupBy("channel_id").applyInPandas(_entries, "channel_id string, first bigint, entry bigint")
+    entries = materialize(entries.select("channel_id", F.floor(F.col("first") / slice_rows).alias("slice"), "entry"), "chunk-entries")
+    used = by_slice(jumps.join(entries, ["channel_id", "slice"])).select("channel_id", "slice", "idx", "to", "end", "entry")
+    used = used.mapInArrow(_walks, "channel_id string, start bigint, end bigint")
+    o = row_numbers(slice_groups(materialize(used, "chunk-starts"), ["channel_id"], ["start"], max_rows), "chunk")
     return o.result().select("channel_id", "chunk", "start", "end")
 
 

@@ -82,6 +82,18 @@ def channel_starts(msgs: DataFrame) -> DataFrame:
     return msgs.groupBy("channel_id").agg(F.min("ts").alias("start"), F.count("*").alias("total"))
 
 
+def empty_documents(msgs: DataFrame, channels: DataFrame | None, text: str) -> DataFrame | None:
+    """One row for every channel of ``channels`` that has no message left."""
+    if channels is None:
+        return None
+    left = channels.select("channel_id").distinct().join(msgs.select("channel_id").distinct(), "channel_id", "left_anti")
+    return left.select(*row(HEAD, F.lit(text)))
+
+
+def with_empty(rows: DataFrame, empty: DataFrame | None) -> DataFrame:
+    return rows if empty is None else rows.unionByName(empty)
+
+
 def document_text(rows: DataFrame) -> DataFrame:
     """Whole documents, one row per channel.  For small output and tests only."""
     keyed = F.struct("sect", "k1", "k2", "k3", "text")

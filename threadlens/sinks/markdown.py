@@ -10,6 +10,7 @@ from ..functions.redact import URL_STOP_MARKDOWN, redact
 from . import document as D
 
 ORDER = ("ts", "file_idx", "msg_idx")
+EMPTY_TEXT = "No messages found."
 
 
 def header_rows(msgs: DataFrame, people: DataFrame, options: D.RenderOptions) -> DataFrame:
@@ -45,7 +46,10 @@ def body_rows(msgs: DataFrame) -> DataFrame:
     return rows.select(*D.body_row(F.array_join(lines, "\n")))
 
 
-def render(msgs: DataFrame, people: DataFrame, options: D.RenderOptions = D.RenderOptions()) -> DataFrame:
+def render(
+    msgs: DataFrame, people: DataFrame, options: D.RenderOptions = D.RenderOptions(), channels: DataFrame | None = None
+) -> DataFrame:
+    """Document rows; a channel of ``channels`` without a message gets the empty document."""
     rows = header_rows(msgs, people, options).unionByName(body_rows(msgs))
     text = redact(F.col("text"), options.redact_urls, options.redact_emails, URL_STOP_MARKDOWN)
-    return rows.withColumn("text", text)
+    return D.with_empty(rows.withColumn("text", text), D.empty_documents(msgs, channels, EMPTY_TEXT))

@@ -11,6 +11,8 @@ from ..operators.ordered import MAX_GROUP_ROWS
 from . import document as D
 from .layout import ORDER, narrow, txt_layout
 
+EMPTY_TEXT = "No messages found or file empty."
+
 
 def _redact(text: Column, o: D.RenderOptions) -> Column:
     return redact(text, o.redact_urls, o.redact_emails, URL_STOP_TXT)
@@ -80,7 +82,8 @@ def body_rows(msgs: DataFrame, max_rows: int = MAX_GROUP_ROWS) -> DataFrame:
 
 def render(
     msgs: DataFrame, people: DataFrame, options: D.RenderOptions = D.RenderOptions(),
-    max_rows: int = MAX_GROUP_ROWS,
+    max_rows: int = MAX_GROUP_ROWS, channels: DataFrame | None = None,
 ) -> DataFrame:
+    """Document rows; a channel of ``channels`` without a message gets the empty document."""
     rows = header_rows(msgs, people, options).unionByName(body_rows(msgs, max_rows))
-    return rows.withColumn("text", _redact(F.col("text"), options))
+    return D.with_empty(rows.withColumn("text", _redact(F.col("text"), options)), D.empty_documents(msgs, channels, EMPTY_TEXT))

@@ -115,7 +115,7 @@ def _text(node: _Node | None) -> str | None:
     return None if node is None else node.text()
 
 
-def _take_apart(file_id: str, tree: _Tree) -> Iterator[tuple]:
+def _take_apart(tree: _Tree) -> Iterator[tuple]:
     """Message rows of a group, which is the first element of its tree; the position is added by the caller."""
     tree.close()
     group = next(x for x in tree.root.items if isinstance(x, _Node))
@@ -142,7 +142,7 @@ def _take_apart(file_id: str, tree: _Tree) -> Iterator[tuple]:
             reacts.append(((img.attrs.get("alt") or "") if img else "?",
                            _text(r.one("chatlog__reaction-count"))))
         yield (
-            file_id, _text(author), who.get("data-user-id"), who.get("title"),
+            _text(author), who.get("data-user-id"), who.get("title"),
             box.attrs.get("data-message-id"), box.attrs.get("id"),
             stamp.attrs.get("title") if stamp else None,
             _text(box.one("chatlog__system-notification-content")),
@@ -224,7 +224,7 @@ def _parse_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             n = 0
             for kind, tree, pieces, _ in _groups((r[2] for r in run), block == 0):
                 if kind == "group":
-                    for row in _take_apart(file_id, tree):
+                    for row in _take_apart(tree):
                         yield (file_id, block + n, *row, *NO_EDGE)
                         n += 1
                     continue
@@ -248,7 +248,7 @@ def _parse_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 cuts.append((cuts[-1] if cuts else 0) + text.count(GROUP))
             for _, tree, _, at in _groups("".join(p[3] for p in parts).split(GROUP), True):
                 part = next(k for k, upto in enumerate(cuts) if at <= upto)
-                for row in _take_apart(file_id, tree):
+                for row in _take_apart(tree):
                     yield (file_id, next_free[part], *row)
                     next_free[part] += 1
 

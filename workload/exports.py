@@ -12,7 +12,7 @@ from threadlens.operators import budget
 from threadlens.plans import conversation
 from threadlens.plans.options import Options
 from threadlens.session import materialize, work_dir
-from threadlens.sinks import document, export, layout, markdown, page, tables as sink_tables, txt
+from threadlens.sinks import document, export, layout, markdown, tables as sink_tables
 from threadlens.sources import catalog, html_export, json_export, txt_export
 from threadlens.streaming import ingest
 
@@ -52,19 +52,19 @@ FROM (SELECT *, turn % 3 = 2 AND role <> 'system' AS reply FROM turns) t LEFT JO
 
 @query("json_export_scan", JSON_SQL)
 def json_export_scan(spark, sf_dir):
-    return shown(json_export.scan(json_export.read_fragments(spark, files.write_json(spark, sf_dir))))
+    return shown(json_export.to_raw_messages(json_export.read(spark, files.write_json(spark, sf_dir))[1]))
 
 
 @query("json_document_scan", JSON_SQL)
 def json_document_scan(spark, sf_dir):
     path = files.write_json(spark, sf_dir, indented=False)
-    return shown(json_export.scan(json_export.read_fragments(spark, path)))
+    return shown(json_export.to_raw_messages(json_export.read(spark, path)[1]))
 
 
 @query("json_export_headers", """
 SELECT DISTINCT channel_id, 'Guild - cat - chan' AS base_name, 1735689600000 AS exported_ms, false AS invalid FROM turns""")
 def json_export_headers(spark, sf_dir):
-    h = json_export.headers(json_export.read_fragments(spark, files.write_json(spark, sf_dir)))
+    h, _ = json_export.read(spark, files.write_json(spark, sf_dir))
     return h.select("channel_id", "base_name", clock.millis(F.col("exported_at")).alias("exported_ms"), "invalid")
 
 
@@ -182,42 +182,6 @@ def participant_legend(spark, sf_dir):
     return document.legend(m, people_of(m)).select("channel_id", "uid", "n", "pct")
 
 
-TXT_LAYOUT = r"""
-SELECT channel_id, msg_idx, divider, time_text, glued, has_head FROM (
-  SELECT *, rest > 0 AND NOT coalesce(lastv.b = block AND lastv.a = author_id, false) AS has_head FROM (
-    SELECT *, last_value(CASE WHEN rest > 0 THEN {'b': block, 'a': author_id} END IGNORE NULLS) OVER (PARTITION BY channel_id, day ORDER BY ts, msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lastv FROM (
-      SELECT *, len(parts) - CAST(glued AS INTEGER) AS rest, sum(CASE WHEN divider <> 'none' THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id, day ORDER BY ts, msg_idx) AS block FROM (
-        SELECT *, coalesce(starts_with(parts[1], '^'), false) AND (divider <> 'none' OR NOT coalesce(above, false)) AS glued FROM (
-          SELECT *, last_value(CASE WHEN len(parts) > 0 THEN parts[-1] LIKE '%:' WHEN divider <> 'none' THEN false END IGNORE NULLS) OVER (PARTITION BY channel_id, day ORDER BY ts, msg_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM (
-            SELECT *, CASE WHEN gap IS NULL THEN 'day' WHEN gap > 14400000 THEN 'break' ELSE 'none' END AS divider,
-              CASE WHEN gap IS NULL OR gap > 3600000 THEN '[' || strftime(ts, '%-I:%M %p') || ']' WHEN gap < 60000 THEN '[+' || (gap // 1000) || 's]' WHEN gap < 3600000 THEN '[+' || (gap // 60000) || 'm]' ELSE '[+1h]' END AS time_text
-            FROM (SELECT *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER (PARTITION BY channel_id, day ORDER BY ts, msg_idx) AS gap FROM enr)))))))"""
-
-
-@query("txt_layout", TXT_LAYOUT, EVENTS)
-def txt_layout(spark, sf_dir):
-    rows = layout.txt_layout(layout.narrow(event_messages(spark, sf_dir)))
-    return rows.select("channel_id", "msg_idx", "divider", "time_text", "glued", "has_head")
-
-
-@query("txt_transcript")
-def txt_transcript(spark, sf_dir):
-    m = event_messages(spark, sf_dir)
-    return txt.render(m, people_of(m), document.RenderOptions(redact_urls=True, redact_emails=True))
-
-
-@query("markdown_transcript")
-def markdown_transcript(spark, sf_dir):
-    m = event_messages(spark, sf_dir)
-    return markdown.render(m, people_of(m))
-
-
-@query("html_transcript")
-def html_transcript(spark, sf_dir):
-    m = event_messages(spark, sf_dir)
-    return page.render(m, people_of(m))
-
-
 @query("html_layout", """
 SELECT channel_id, msg_idx, CASE WHEN gap IS NULL THEN 'day' WHEN gap > 14400000 THEN 'break' ELSE 'none' END AS divider, above FROM (
   SELECT *, epoch_us(ts) // 1000 - lag(epoch_us(ts) // 1000) OVER w AS gap, lag(author_id) OVER w AS above FROM enr WINDOW w AS (PARTITION BY channel_id, day ORDER BY ts, msg_idx))""", EVENTS)

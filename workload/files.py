@@ -103,7 +103,10 @@ def write_html(spark, sf_dir) -> str:
     ordered = F.array_sort(F.collect_list(F.struct("turn", message.alias("t"))))
     t = t.groupBy("channel_id", "conv_id", "who").agg(
         F.min("place").alias("place"), F.first(author).alias("author"), F.array_join(F.transform(ordered, lambda m: m["t"]), "").alias("inner"))
-    piece = text('<div class="chatlog__message-group">', F.col("author"), F.col("inner"), "</div>")
+    # Three spellings of a group's opening in every file.
+    opening = F.when(F.col("place") % 3 == 0, '<div class="chatlog__message-group">').when(
+        F.col("place") % 3 == 1, '<div id="g1" data-note="x > y" class="chatlog__message-group">').otherwise("<div class='first chatlog__message-group'>")
+    piece = text(opening, F.col("author"), F.col("inner"), "</div>")
     head = text("<!DOCTYPE html><html><head><style>.chatlog__message-group{margin:0}</style></head><body><div class=\"chatlog\">\n")
     return _write(_per_channel(t, piece, "\n", head, F.lit("\n</div></body></html>")), "html-export")
 

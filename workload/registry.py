@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytics, exports, merging, texts
+from . import analytics, exports, merging, texts, transcripts
 
 QUERIES: dict = {}
 SQL: dict = {}
-for module in (analytics, texts, merging, exports):
+for module in (analytics, texts, merging, exports, transcripts):
     QUERIES.update(module.QUERIES)
     SQL.update(module.SQL)
