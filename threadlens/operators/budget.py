@@ -1,9 +1,10 @@
 """Keeping a conversation within a token budget, and cutting it into chunks.
 
 All channels are treated at once.  The greedy fill is a suffix sum per channel.
-The exact check measures the rendered size without rendering: the size of the
-message bodies is computed once, and each probe of the binary search only lays
-out a narrow table of positions and sizes again.
+The exact check measures the rendered size without rendering.  A day divider
+resets the layout, so of a cut's size all but its own day comes from two layouts
+of everything, one of all messages and one of those that always stay, summed up
+by day.  The cut's day is found on these sums; only that day is laid out again.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.chars import u16len
@@ -130,70 +131,130 @@ def line_sizes(measure: Measure) -> Column:
 
 
 def header_sizes(
-    kept: DataFrame, people: DataFrame, measure: Measure, options: D.RenderOptions
+    starts: DataFrame, counts: DataFrame, people: DataFrame, measure: Measure, options: D.RenderOptions
 ) -> DataFrame:
+    """``channel_id, header``: size of the header above, from the start and the authors' counts."""
     line = F.when(F.col("sect") == D.HEAD, F.col("text")).otherwise(F.concat(F.lit("\n"), "text"))
     size = F.when(
         (F.col("sect") == D.LEGEND) & (F.col("text") == ""), F.lit(measure.gap_line).cast("bigint")
     ).otherwise(measure.size(line))
-    rows = txt.header_rows(kept, people, options)
+    rows = txt.header_rows_of(starts, D.legend_of(counts, people), options)
     return rows.groupBy("channel_id").agg(F.sum(size).alias("header"))
 
 
-def measure_kept(
-    rows: DataFrame,
-    wanted: DataFrame,
-    people: DataFrame,
-    measure: Measure,
-    options: D.RenderOptions,
-    max_rows: int = MAX_GROUP_ROWS,
-    largest: int | None = None,
-    empty_size: int = 0,
-) -> DataFrame:
-    """Rendered size when the newest ``k`` normal messages of a channel are kept.
-
-    ``rows`` is the narrow table, ``wanted`` has ``channel_id, k`` and may ask
-    for several ``k`` of one channel; each is laid out as a channel of its own.
-    ``empty_size`` is the size of the text shown when nothing is kept.
+@dataclass(frozen=True)
+class Days:
+    """What the search needs besides the narrow ``rows``.
+
+    ``table``: channel_id, day, rank (1 is the newest day), normals, before (normal
+    messages of newer days), newer (size of this and all newer days, whole) and
+    older (size of the messages that always stay, in the days before this one).
+    ``authors``: channel_id, uid, rank, and number and first time of an author's
+    messages on a day, of all and of those that always stay.
     """
-    asked = wanted.withColumn("case_id", F.concat_ws("\u0001", "channel_id", F.col("k").cast("string")))
-    kept = rows.join(asked, "channel_id").where(
-        F.col("priority") | (F.col("from_newest") <= F.col("k"))
-    )
-    kept = kept.drop("channel_id").withColumnRenamed("case_id", "channel_id")
-    laid = txt_layout(kept, max_rows, largest)
-    bodies = laid.groupBy("channel_id").agg(F.sum(line_sizes(measure)).alias("body"))
-    sizes = bodies.join(header_sizes(kept, people, measure, options), "channel_id")
-    sizes = sizes.select(
-        F.col("channel_id").alias("case_id"),
-        F.floor((F.col("body") + F.col("header") + 50) / 100).cast("bigint").alias("size"),
+
+    rows: DataFrame
+    table: DataFrame
+    authors: DataFrame
+    people: DataFrame
+    measure: Measure
+    options: D.RenderOptions
+    max_rows: int
+    largest: int
+    empty: int
+
+    def total(self, body: DataFrame, kept: DataFrame) -> DataFrame:
+        """``case_id, size`` from the bodies' sizes and the authors' ``case_id, uid, n, start``."""
+        kept = kept.where("n > 0").withColumnRenamed("case_id", "channel_id")
+        starts = kept.groupBy("channel_id").agg(F.min("start").alias("start"))
+        header = header_sizes(starts, kept.select("channel_id", "uid", "n"), self.people, self.measure, self.options)
+        return body.join(header.withColumnRenamed("channel_id", "case_id"), "case_id", "left").select(
+            "case_id", F.coalesce(F.floor((F.col("body") + F.col("header") + 50) / 100).cast("bigint"), F.lit(self.empty)).alias("size")
+        )
+
+    def whole_days(self, wanted: DataFrame) -> DataFrame:
+        """Sizes when the newest ``k`` days stay whole, for ``wanted`` (channel_id, k, case_id)."""
+        # With no day whole, what always stays of all days is left.
+        none = self.table.where("rank = 1").select("channel_id", F.lit(0).cast("bigint").alias("k"), F.col("all_fixed").alias("body"))
+        sums = self.table.select("channel_id", F.col("rank").alias("k"), (F.col("newer") + F.col("older")).alias("body")).unionByName(none)
+        whole = F.col("rank") <= F.col("k")
+        kept = self.authors.join(wanted, "channel_id").groupBy("case_id", "uid").agg(
+            F.sum(F.when(whole, F.col("n")).otherwise(F.col("fixed"))).alias("n"),
+            F.min(F.when(whole, F.col("first")).otherwise(F.col("first_fixed"))).alias("start"),
+        )
+        return self.total(wanted.join(sums, ["channel_id", "k"]).select("case_id", "body"), kept)
+
+    def in_day(self, wanted: DataFrame, cuts: DataFrame) -> DataFrame:
+        """Sizes when of the cut's day the newest ``k`` normal messages stay; ``cuts`` has channel_id, rank of that day."""
+        day = cuts.join(self.table, ["channel_id", "rank"]).select(
+            "channel_id", "rank", "day", "before", (F.col("newer") - F.col("whole") + F.col("older")).alias("rest"))
+        asked = wanted.join(day, "channel_id")
+        kept = self.rows.join(asked, ["channel_id", "day"]).where(F.col("priority") | (F.col("from_newest") <= F.col("before") + F.col("k")))
+        kept = kept.drop("channel_id", "k", "rank", "before", "rest").withColumnRenamed("case_id", "channel_id")
+        laid = txt_layout(kept, self.max_rows, self.largest).select("channel_id", "author_id", "ts", line_sizes(self.measure).alias("s"))
+        mine = materialize(laid.groupBy(F.col("channel_id").alias("case_id"), F.col("author_id").alias("uid")).agg(
+            F.sum("s").alias("s"), F.count("*").alias("n"), F.min("ts").alias("start")), "trim-day")
+        newer = F.col("a.rank") < F.col("w.rank")
+        others = self.authors.alias("a").join(asked.alias("w"), "channel_id").where("a.rank <> w.rank").select(
+            "case_id", "uid", F.when(newer, F.col("n")).otherwise(F.col("fixed")).alias("n"),
+            F.when(newer, F.col("first")).otherwise(F.col("first_fixed")).alias("start"))
+        both = others.unionByName(mine.select("case_id", "uid", "n", "start")).groupBy("case_id", "uid").agg(
+            F.sum("n").alias("n"), F.min("start").alias("start"))
+        own = mine.groupBy("case_id").agg(F.sum("s").alias("own"))
+        body = asked.join(own, "case_id", "left").select("case_id", (F.col("rest") + F.coalesce("own", F.lit(0))).alias("body"))
+        return self.total(body, both)
+
+
+def _days(
+    rows: DataFrame, people: DataFrame, measure: Measure, options: D.RenderOptions, max_rows: int, empty: int
+) -> Days:
+    """Both layouts of everything, summed up by day.  Windows over days hold a row per calendar day."""
+    largest = largest_group(rows, ["channel_id", "day"])
+
+    def sizes(of: DataFrame, name: str) -> DataFrame:
+        laid = txt_layout(of, max_rows, largest)
+        return laid.groupBy("channel_id", "day").agg(F.sum(line_sizes(measure)).alias(name))
+
+    normals = rows.groupBy("channel_id", "day").agg(F.count_if(~F.col("priority")).alias("normals"))
+    days = (
+        normals.join(sizes(rows, "whole"), ["channel_id", "day"])
+        .join(sizes(rows.where("priority"), "fixed_size"), ["channel_id", "day"], "left").fillna(0, ["fixed_size"])
     )
-    return asked.join(sizes, "case_id", "left").select(
-        "channel_id", "k", F.coalesce("size", F.lit(empty_size)).alias("size")
+    newest = Window.partitionBy("channel_id").orderBy(F.desc("day"))
+    upto = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    everything = Window.partitionBy("channel_id")
+    table = materialize(days.select(
+        "channel_id", "day", "normals", "whole", F.row_number().over(newest).cast("bigint").alias("rank"),
+        (F.sum("normals").over(upto) - F.col("normals")).alias("before"), F.sum("whole").over(upto).alias("newer"),
+        (F.sum("fixed_size").over(everything) - F.sum("fixed_size").over(upto)).alias("older"),
+        F.sum("fixed_size").over(everything).alias("all_fixed"),
+    ), "trim-days")
+    authors = rows.groupBy("channel_id", F.col("author_id").alias("uid"), "day").agg(
+        F.count("*").alias("n"), F.count_if("priority").alias("fixed"), F.min("ts").alias("first"),
+        F.min(F.when(F.col("priority"), F.col("ts"))).alias("first_fixed"),
     )
+    authors = materialize(authors.join(table.select("channel_id", "day", "rank"), ["channel_id", "day"]).drop("day"), "trim-authors")
+    return Days(rows, table, authors, people, measure, options, max_rows, largest, empty)
 
 
-def _guess(
-    rows: DataFrame, people: DataFrame, measure: Measure, options: D.RenderOptions, max_rows: int, largest: int
-) -> DataFrame:
-    """First guess of ``k`` per channel, from one layout of everything.
-
-    Leaving out a message is taken to save its size in the full layout.  That
-    is off by little: the first kept message gains a divider, the legend
-    shrinks.  The exact sizes decide afterwards.
-    """
-    laid = txt_layout(rows, max_rows, largest)
-    sized = laid.select("channel_id", *ORDER, "priority", "from_newest", line_sizes(measure).alias("s"))
-    fixed = sized.groupBy("channel_id").agg(
-        F.coalesce(F.sum(F.when(F.col("priority"), F.col("s"))), F.lit(0)).alias("fixed"),
-        F.coalesce(F.sum(F.when(~F.col("priority"), F.col("s"))), F.lit(0)).alias("normal"),
-    ).join(header_sizes(rows, people, measure, options), "channel_id")
-    own = F.when(~F.col("priority"), F.col("s")).otherwise(F.lit(0))
-    o = running_sum(slice_groups(sized, ["channel_id"], ORDER, max_rows), own, "upto")
-    kept = o.result().where("NOT priority").join(fixed, "channel_id")
-    size = F.col("header") + F.col("fixed") + F.col("normal") - F.col("upto") + F.col("s")
-    fits = F.when(size <= measure.limit * 100, F.col("from_newest"))
-    return kept.groupBy("channel_id").agg(F.coalesce(F.max(fits), F.lit(0)).alias("guess"))
+def _search(state: DataFrame, sizes: Callable[[DataFrame], DataFrame], limit: int) -> DataFrame:
+    """Narrow ``lo`` and ``hi`` of every channel until they are neighbours; ``sizes`` measures channel_id, k, case_id."""
+    fits = F.col("size") <= limit
+    while not (active := state.where("hi - lo > 1")).isEmpty():
+        case = F.concat_ws("\u0001", "channel_id", F.col("k").cast("string"))
+        wanted = active.select("channel_id", F.explode(_candidates()).alias("k")).withColumn("case_id", case)
+        seen = wanted.join(sizes(wanted), "case_id")
+        good, bad = F.when(fits, F.struct("k", "size")), F.when(~fits, F.struct("k", "size"))
+        found = seen.groupBy("channel_id").agg(
+            F.max(good).alias("good"), F.min(bad).alias("bad"), F.max(F.when(F.col("k") == 0, F.col("size"))).alias("zero"),
+        )
+        state = materialize(state.join(found, "channel_id", "left").select(
+            "channel_id", "n_normal", "guess", "limit",
+            F.coalesce("good.k", "lo").alias("lo"), F.coalesce("bad.k", "hi").alias("hi"),
+            F.coalesce("good.size", "lo_size").alias("lo_size"), F.coalesce("bad.size", "hi_size").alias("hi_size"),
+            F.coalesce("zero", "zero_size").alias("zero_size"),
+        ), "trim-state")
+    return state
 
 
 def _candidates() -> Column:
@@ -249,40 +310,37 @@ def trim(
     sized = msgs.withColumns(_sizes(measure)).withColumn("priority", matches_keywords(F.col("parts"), keywords))
     sized = narrow(sized, "priority", "own_size", "glued_size")
     rows = materialize(rank_newest(sized, F.col("priority"), max_rows), "trim-rows")
-    largest = largest_group(rows, ["channel_id", "day"])
+    empty = msgs.sparkSession.range(1).select(F.floor((measure.size(F.lit(txt.EMPTY_TEXT)) + 50) / 100)).first()[0]
+    days = _days(rows, people, measure, options, max_rows, empty)
 
-    state = rows.groupBy("channel_id").agg(
-        F.count("*").alias("total"), F.max("n_normal").alias("n_normal")
-    )
-    state = state.join(_guess(rows, people, measure, options, max_rows, largest), "channel_id", "left")
+    # How many of the newest days stay whole: the sums without a header point to the place.
     unknown = F.lit(None).cast("bigint")
-    state = materialize(state.select(
-        "channel_id", "total", "n_normal", F.coalesce("guess", F.lit(0)).cast("bigint").alias("guess"),
-        F.lit(measure.limit).cast("bigint").alias("limit"),
-        F.lit(-1).cast("bigint").alias("lo"), (F.col("n_normal") + 1).alias("hi"),
+    limit = F.lit(measure.limit).cast("bigint")
+    body_fits = F.when(F.col("newer") + F.col("older") <= measure.limit * 100, F.col("rank"))
+    state = days.table.groupBy("channel_id").agg(
+        F.max("rank").alias("n_normal"), F.coalesce(F.max(body_fits), F.lit(0)).cast("bigint").alias("guess")
+    ).select(
+        "channel_id", "n_normal", "guess", limit.alias("limit"), F.lit(-1).cast("bigint").alias("lo"), (F.col("n_normal") + 1).alias("hi"),
         unknown.alias("lo_size"), unknown.alias("hi_size"), unknown.alias("zero_size"),
-    ), "trim-state")
-    empty = msgs.sparkSession.range(1).select(F.floor((measure.size(F.lit(txt.EMPTY_TEXT)) + 50) / 100)).first()[0]
-    fits = F.col("size") <= measure.limit
-    while not (active := state.where("hi - lo > 1")).isEmpty():
-        wanted = active.select("channel_id", F.explode(_candidates()).alias("k"))
-        seen = measure_kept(rows, wanted, people, measure, options, max_rows, largest, empty)
-        good, bad = F.when(fits, F.struct("k", "size")), F.when(~fits, F.struct("k", "size"))
-        found = seen.groupBy("channel_id").agg(
-            F.max(good).alias("good"),
-            F.min(bad).alias("bad"),
-            F.max(F.when(F.col("k") == 0, F.col("size"))).alias("zero"),
-        )
-        state = materialize(state.join(found, "channel_id", "left").select(
-            "channel_id", "total", "n_normal", "guess", "limit",
-            F.coalesce("good.k", "lo").alias("lo"),
-            F.coalesce("bad.k", "hi").alias("hi"),
-            F.coalesce("good.size", "lo_size").alias("lo_size"),
-            F.coalesce("bad.size", "hi_size").alias("hi_size"),
-            F.coalesce("zero", "zero_size").alias("zero_size"),
-        ), "trim-state")
-
-    keep = state.select("channel_id", F.greatest("lo", F.lit(0)).alias("k"))
+    )
+    whole = _search(state, days.whole_days, measure.limit)
+    # How many messages of the day before them stay.
+    cuts = whole.where("lo >= 0 AND lo < n_normal").select("channel_id", (F.col("lo") + 1).alias("rank"))
+    part = whole.join(cuts, "channel_id").join(days.table.select("channel_id", "rank", "normals"), ["channel_id", "rank"]).select(
+        "channel_id", F.col("normals").alias("n_normal"), F.lit(0).cast("bigint").alias("guess"), "limit",
+        F.lit(0).cast("bigint").alias("lo"), F.col("normals").cast("bigint").alias("hi"), "lo_size", "hi_size", unknown.alias("zero_size"),
+    )
+    inside = _search(part, lambda wanted: days.in_day(wanted, cuts), measure.limit)
+    upto = days.table.select("channel_id", F.col("rank").alias("lo"), (F.col("before") + F.col("normals")).alias("k0"))
+    totals = rows.groupBy("channel_id").agg(F.count("*").alias("total"), F.max("n_normal").alias("normals"))
+    state = materialize(
+        whole.join(upto, ["channel_id", "lo"], "left")
+        .join(inside.select("channel_id", F.col("lo").alias("more"), F.col("lo_size").alias("more_size")), "channel_id", "left")
+        .join(totals, "channel_id")
+        .select("channel_id", "total", "normals", "lo", (F.coalesce("k0", F.lit(0)) + F.coalesce("more", F.lit(0))).alias("k"),
+                F.coalesce("more_size", "lo_size", "zero_size").alias("size")), "trim-cuts",
+    )
+    keep = state.select("channel_id", "k")
     kept_keys = rows.join(keep, "channel_id").where(
         F.col("priority") | (F.col("from_newest") <= F.col("k"))
     ).select("channel_id", *ORDER)
@@ -292,8 +350,7 @@ def trim(
     # nothing fits: the priority messages alone are over the limit
     report = state.join(left, "channel_id", "left").select(
         "channel_id", "total", F.coalesce("kept", F.lit(0)).alias("kept"),
-        F.coalesce("lo_size", "zero_size").alias("size"),
-        ((F.col("lo") < 0) & (F.col("total") > F.col("n_normal"))).alias("budget_exceeded"),
+        "size", ((F.col("lo") < 0) & (F.col("total") > F.col("normals"))).alias("budget_exceeded"),
     )
     return Trimmed(kept, report)
 

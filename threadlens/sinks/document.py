@@ -54,7 +54,11 @@ def legend(msgs: DataFrame, people: DataFrame) -> DataFrame:
 
     Counts are small rows; the label comes from the identity table.
     """
-    counts = msgs.groupBy("channel_id", F.col("author_id").alias("uid")).agg(F.count("*").alias("n"))
+    return legend_of(msgs.groupBy("channel_id", F.col("author_id").alias("uid")).agg(F.count("*").alias("n")), people)
+
+
+def legend_of(counts: DataFrame, people: DataFrame) -> DataFrame:
+    """The same from the counts, ``channel_id, uid, n``."""
     totals = counts.groupBy("channel_id").agg(F.sum("n").alias("total"), F.count("*").alias("users"))
     tenths = F.floor((F.col("n") * 2000 + F.col("total")) / (F.col("total") * 2))
     pct = F.concat(

@@ -30,19 +30,24 @@ def head_text(time_text: Column, author: Column) -> Column:
 
 
 def header_rows(msgs: DataFrame, people: DataFrame, options: D.RenderOptions) -> DataFrame:
+    return header_rows_of(D.channel_starts(msgs), D.legend(msgs, people), options)
+
+
+def header_rows_of(starts: DataFrame, legend: DataFrame, options: D.RenderOptions) -> DataFrame:
+    """Header of the channels of ``starts`` (channel_id, start) with their participants."""
     start = F.concat(F.lit("# Start: "), clock.http_date(F.col("start")))
     intro = [F.lit(f"# LLM-Optimized Chat Log (Limit: ~{options.limit_text} tokens)"), start,
              F.lit("# Participants:")]
     if options.preamble.strip():
         intro = [F.lit(options.preamble.strip()), F.lit(""), *intro]
-    head = D.channel_starts(msgs).select(*D.row(D.HEAD, F.concat_ws("\n", *intro)))
+    head = starts.select(*D.row(D.HEAD, F.concat_ws("\n", *intro)))
     name = F.lit("") if options.redact_names else F.concat(F.lit(" "), F.col("label"))
     entry = F.concat(
         F.lit("# "), F.col("uid"), F.lit(":"), name, F.lit(" ("), F.col("n").cast("string"),
         F.lit(" msgs, "), F.col("pct"), F.lit("%)"),
     )
-    people_rows = D.legend(msgs, people).select(*D.row(D.LEGEND, entry, *D.number_then_count(), F.xxhash64("uid")))
-    gap = D.channel_starts(msgs).select(*D.row(D.LEGEND, F.lit(""), F.lit((1 << 62))))
+    people_rows = legend.select(*D.row(D.LEGEND, entry, *D.number_then_count(), F.xxhash64("uid")))
+    gap = starts.select(*D.row(D.LEGEND, F.lit(""), F.lit((1 << 62))))
     return head.unionByName(people_rows).unionByName(gap)
 
 

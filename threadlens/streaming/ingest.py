@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from ..functions import clock
 from ..sources import json_export
 from ..sources.catalog import ROW_MASK
 
@@ -62,6 +63,39 @@ def stream_daily_counts(messages: DataFrame, lateness: str = "1 day") -> DataFra
     )
 
 
+def stream_sessions(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Sessions of a message stream, as the batch rule has them: per channel and UTC day, a gap above the break's length ends one."""
+    gap = f"{clock.SESSION_BREAK_MS + 1} milliseconds"  # a gap of just that length is no break
+    return (
+        messages.withWatermark("ts", lateness)
+        .groupBy(F.session_window("ts", gap).alias("s"), "channel_id", clock.day_key(F.col("ts")).alias("day"))
+        .agg(F.count("*").alias("n"))
+        .select("channel_id", "day", F.col("s.start").alias("started"), "n")
+    )
+
+
+def append_results(results: DataFrame, target: str, checkpoint: str) -> None:
+    """Add what a stream's results have final so far to ``target``; the checkpoint keeps the rest for the next call.
+
+    The file sink writes a batch once, whatever is run again.
+    """
+    (
+        results.writeStream.format("parquet").outputMode("append").option("path", target)
+        .option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    )
+
+
+def close_stream(messages: DataFrame, source: str, lateness_days: int = 1) -> None:
+    """Append one row far behind the last message to ``source``, which makes all open windows final."""
+    row = messages.agg(F.max("ts").alias("last")).select(
+        *(
+            (F.col("last") + F.expr(f"INTERVAL {lateness_days + 2} DAYS")).alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name)
+            for f in messages.schema.fields
+        )
+    )
+    row.write.mode("append").parquet(source)
+
+
 def stream_first_copies(messages: DataFrame, lateness: str = "1 day") -> DataFrame:
     """First copy per message id, for inputs that share one export format."""
     return messages.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(

@@ -10,14 +10,13 @@ from pyspark.sql import functions as F
 from threadlens.functions import clock
 from threadlens.operators import budget
 from threadlens.plans import conversation
-from threadlens.plans.options import Options
 from threadlens.session import materialize, work_dir
 from threadlens.sinks import document, export, layout, markdown, tables as sink_tables
 from threadlens.sources import catalog, html_export, json_export, txt_export
 from threadlens.streaming import ingest
 
 from . import files
-from .tables import CHAT, EVENT_BODY, EVENTS, chat_messages, event_messages, people_of, table, with_sql
+from .tables import CHAT, EVENT_BODY, EVENTS, event_messages, people_of, table, with_sql
 
 QUERIES = {}
 SQL = {}
@@ -215,18 +214,6 @@ def newest_first_fill(spark, sf_dir):
     return f.select("channel_id", "msg_idx", "priority", "in_fill")
 
 
-@query("budget_trim")
-def budget_trim(spark, sf_dir):
-    m = event_messages(spark, sf_dir)
-    return budget.trim(m, people_of(m), max_tokens=8000, keywords=("*k9*",)).report
-
-
-@query("budget_trim_characters")
-def budget_trim_characters(spark, sf_dir):
-    m = event_messages(spark, sf_dir)
-    return budget.trim(m, people_of(m), max_chars=30000, min_messages=2).report
-
-
 CHUNK_SQL = f"""
 WITH RECURSIVE c AS (
   SELECT *, CAST(sum(cost) OVER (PARTITION BY channel_id ORDER BY ts, msg_idx) AS BIGINT) AS upto, row_number() OVER (PARTITION BY channel_id ORDER BY ts, msg_idx) - 1 AS idx, count(*) OVER (PARTITION BY channel_id) AS n
@@ -284,9 +271,3 @@ def conversation_from_raw(spark, sf_dir):
 
     people, msgs = conversation.build_messages(raw_people(spark, sf_dir))
     return msgs.groupBy("channel_id", "format", "author_name").agg(F.count("*").alias("n"))
-
-
-@query("processed_conversation")
-def processed_conversation(spark, sf_dir):
-    m = chat_messages(spark, sf_dir)
-    return conversation.process(m, people_of(m), Options(max_tokens=20_000, drop_system=True)).report
