@@ -252,6 +252,14 @@ def test_language_held_out_and_spans(spark, documents, edge_docs):
     assert language.predict(edge_docs, none).where("lang_pred = 'und' AND score = 0").count() == edge_docs.count()
 
 
+def test_letters_of_every_plane_are_words(spark):
+    rows = [("hello world this is a text", "en"), ("\U00020001\U00020002 \U00030005\U00030006", "zh")] * 5
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = [(k, t) for k, t in enumerate(["\U00030007", "\U000323AF\U00031350", "\U0010FFFF", "\U00040000", "12 😀"])]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(spark.createDataFrame(texts, "doc_id long, text string"), model).collect()}
+    assert got == {0: "zh", 1: "zh", 2: "und", 3: "und", 4: "und"}
+
+
 def test_script_narrows_candidates(spark):
     rows = [("привет мир это текст", "ru"), ("hello world this is a text", "en"), ("bonjour le monde", "fr")] * 5
     model = language.train(spark.createDataFrame(rows, "text string, lang string"))

@@ -30,6 +30,7 @@ SMOOTH = 0.5
 SCRIPT_SHARE = 0.01
 UNKNOWN = "und"
 CHARS = 1 << 21
+TABLE = 0x40000  # up to the last plane that holds letters
 
 #: First and last code point of the blocks of a script.
 SCRIPTS = (
@@ -40,7 +41,7 @@ SCRIPTS = (
     ("thai", 0xE00, 0xE7F), ("lao", 0xE80, 0xEFF), ("tibetan", 0xF00, 0xFFF), ("myanmar", 0x1000, 0x109F),
     ("georgian", 0x10A0, 0x10FF), ("hangul", 0x1100, 0x11FF), ("ethiopic", 0x1200, 0x137F), ("khmer", 0x1780, 0x17FF),
     ("latin", 0x1E00, 0x1EFF), ("greek", 0x1F00, 0x1FFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
-    ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF), ("han", 0x20000, 0x2FFFF),
+    ("hangul", 0xAC00, 0xD7AF), ("han", 0xF900, 0xFAFF), ("han", 0x20000, 0x3FFFF),
 )
 NAMES = ["other", *dict.fromkeys(s for s, _, _ in SCRIPTS)]
 
@@ -54,7 +55,7 @@ class Model(NamedTuple):
 
 
 def script_table() -> np.ndarray:
-    out = np.zeros(words.TABLE, np.uint8)
+    out = np.zeros(TABLE, np.uint8)
     for name, first, last in SCRIPTS:
         out[first : last + 1] = NAMES.index(name)
     return out
@@ -86,11 +87,11 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
         scripts = script_table()
         for batch, texts in text_chunks(batches, "text", CHARS):
             names = batch.column("lang").to_pylist()
-            w = words.split(texts)
+            w = words.split(texts, size=TABLE)
             place, bucket, _ = grams(w)
             known = {n: k for k, n in enumerate(dict.fromkeys(names))}
             owner = np.array([known[n] for n in names])[np.repeat(w.doc, w.end - w.start)]
-            kind = scripts[np.minimum(w.codes[place], words.TABLE - 1)]
+            kind = scripts[np.minimum(w.codes[place], TABLE - 1)]
             for n, k in known.items():
                 own = owner == k
                 if n not in tables:
@@ -123,7 +124,7 @@ def word_scores(w: words.Words, model: Model, scripts: np.ndarray) -> np.ndarray
     out = np.empty((len(w.start), len(model.languages)), np.float32)
     for k in range(len(model.languages)):
         out[:, k] = np.add.reduceat(np.ascontiguousarray(model.scores[:, k])[bucket], before)
-    kind = scripts[np.minimum(w.codes[w.start], words.TABLE - 1)]
+    kind = scripts[np.minimum(w.codes[w.start], TABLE - 1)]
     out[~model.allowed[kind]] = -1e6
     return out
 
@@ -166,7 +167,7 @@ def viterbi(score: np.ndarray, doc: np.ndarray, n_docs: int, penalty: float = SW
 
 
 def labelled(texts: list[str], model: Model, scripts: np.ndarray) -> tuple[words.Words, np.ndarray]:
-    w = words.split(texts)
+    w = words.split(texts, size=TABLE)
     if not len(w.start) or not model.languages:
         return w, np.empty(0, np.int16)
     return w, viterbi(word_scores(w, model, scripts), w.doc, len(texts))

@@ -51,12 +51,13 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _made["powers"]
 
 
-def letter_table(digits: bool) -> np.ndarray:
-    """Which code points belong to words: letters, or letters and digits."""
-    if digits not in _made:
+def letter_table(digits: bool, size: int = TABLE) -> np.ndarray:
+    """Which code points below ``size`` belong to words: letters, or letters and digits."""
+    key = ("letters", digits, size)
+    if key not in _made:
         test = str.isalnum if digits else str.isalpha
-        _made[digits] = np.fromiter((test(chr(i)) for i in range(TABLE)), bool, TABLE)
-    return _made[digits]
+        _made[key] = np.fromiter((test(chr(i)) for i in range(size)), bool, size)
+    return _made[key]
 
 
 def lower(text: str) -> str:
@@ -65,12 +66,12 @@ def lower(text: str) -> str:
     return out if len(out) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def split(texts: list[str], digits: bool = False) -> Words:
-    """Lower-cased runs of letters (and digits) of all texts."""
+def split(texts: list[str], digits: bool = False, size: int = TABLE) -> Words:
+    """Lower-cased runs of letters (and digits) of all texts; code points from ``size`` on separate."""
     lowered = [lower(t) for t in texts]
     codes = np.frombuffer(("\n".join(lowered) + "\n").encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in lowered), np.int64, len(lowered)))
-    inside = letter_table(digits)[np.minimum(codes, TABLE - 1)]
+    inside = letter_table(digits, size)[np.minimum(codes, size - 1)]
     step = np.diff(inside.view(np.int8), prepend=np.int8(0))
     start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
     sums = np.empty(len(codes) + 1, np.uint64)
