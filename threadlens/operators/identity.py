@@ -277,7 +277,7 @@ def remade_edges(people: DataFrame) -> DataFrame:
     ).distinct()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """``uid, root`` for every end of an edge; root is the smallest uid.
 
     Labels spread to neighbours and then jump to the label of their label, so
@@ -296,7 +296,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
     if labels.isEmpty():
         return labels
     labels = materialize(labels, "cc")
-    for _ in range(max_rounds):
+    while True:
         near = (
             both.join(labels.select(F.col("uid").alias("dst"), "root"), "dst")
             .groupBy(F.col("src").alias("uid"))
@@ -314,7 +314,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         labels = step.select("uid", "root")
         if not changed:
             return labels
-    raise RuntimeError("connected components did not settle")
 
 
 def fold_remade(people: DataFrame, components: DataFrame) -> DataFrame:

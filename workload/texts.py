@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from threadlens.functions import chars, clock, names, parts as P, redact, tokens
-from threadlens.functions.chars import EMOJI_BODY
 from threadlens.operators import identity
 
 from .tables import CHAT, CHATS, EVENT_BODY, EVENTS, chat_messages, chat_turns, event_messages, table, with_sql
@@ -53,7 +52,11 @@ def redact_pages_markdown_style(spark, sf_dir):
     return p.select("page_id", F.md5(redact.redact(F.col("html"), True, True, redact.URL_STOP_MARKDOWN)).alias("redacted"))
 
 
-EMOJI_SQL = EMOJI_BODY.replace("\\", "\\")
+#: Where pictographs lie.  Wider than the exact list, which the tables' texts don't tell apart.
+EMOJI_SQL = (
+    r"\x{A9}\x{AE}\x{203C}\x{2049}\x{2122}\x{2139}\x{2194}-\x{2199}\x{21A9}\x{21AA}\x{231A}-\x{23FF}\x{25AA}-\x{27BF}"
+    r"\x{2934}\x{2935}\x{2B05}-\x{2B55}\x{3030}\x{303D}\x{3297}\x{3299}\x{1F000}-\x{1FAFF}"
+)
 NORM_DOC = (
     r"lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(CASE WHEN starts_with(t, '[') OR starts_with(t, '> ') THEN '' ELSE"
     r" regexp_replace(t, '\^\{[^}]*\}', '', 'g') END, ':[A-Za-z0-9_+-]+:', '', 'g'), '[" + EMOJI_SQL + r"\x{FE0F}\x{200D}]', '', 'g'),"
@@ -67,8 +70,10 @@ def norm_text(spark, sf_dir):
     return d.select("doc_id", F.md5(P.norm_text(F.array("text"))).alias("norm"))
 
 
+#: Segments: words, digits, blanks, line breaks, other ASCII, runs of joined pictographs, any other character.
 SEG = (
-    tokens.SEGMENT.replace("(?s:.)", r"(?s:.)")
+    r"[A-Za-z\x{C0}-\x{24F}]+|[0-9]+|[ \t]+|\r?\n(?:[ \t]*\r?\n)*|[\x00-\x7F]|"
+    + f"[{EMOJI_SQL}]" + r"(?:[\x{FE0F}\x{200D}]" + f"[{EMOJI_SQL}]?)*|(?s:.)"
 )
 SEG_COST = """CASE WHEN u BETWEEN 65 AND 90 OR u BETWEEN 97 AND 122 OR u BETWEEN 192 AND 591
       THEN CASE WHEN n <= 6 THEN 100 ELSE 100 + CAST(floor((n - 6) / 6.5 + 0.5) AS BIGINT) * 100 END
