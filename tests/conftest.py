@@ -27,6 +27,18 @@ def spark():
     return configure(session)
 
 
+@pytest.fixture
+def no_broadcast(spark):
+    """Joins shuffle both sides, and every shuffle partition is a task, as with large tables."""
+    held = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
 @pytest.fixture
 def make_raw(spark):
     """Raw messages from dicts; ``ts`` is an ISO text."""

@@ -65,3 +65,19 @@ def test_salted_join(spark):
     salted = join_dimension(facts, dim, ["k"], ["id"], hot_rows=100, salts=8)
     assert sorted(map(repr, plain.select("k", "id", "v").collect())) == sorted(map(repr, salted.select("k", "id", "v").collect()))
     assert salted.count() == 503
+
+
+def test_rows_without_a_key_and_very_hot_keys_are_spread(spark, no_broadcast):
+    """500 rows without a key and 500 of one key fall into many tasks, though few salts are asked for."""
+    k = F.when(F.col("id") % 2 == 0, F.lit("hot")).when(F.col("id") % 101 == 0, F.col("id").cast("string"))
+    facts = spark.range(1000).select(k.alias("k"), "id")
+    dim = spark.createDataFrame([("hot", 1), ("101", 2)], "k string, v int")
+    joined = join_dimension(facts, dim, ["k"], ["id"], hot_rows=50, salts=2)
+    plain = facts.join(dim, "k", "left")
+    assert sorted(map(repr, joined.select("k", "id", "v").collect())) == sorted(map(repr, plain.select("k", "id", "v").collect()))
+    for kind in (F.col("k").isNull(), F.col("k") == "hot"):
+        largest = joined.where(kind).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert largest < 200 < plain.where(kind).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    only_null = join_dimension(facts.where("k IS NULL OR k <> 'hot'"), dim, ["k"], ["id"], hot_rows=50)
+    assert only_null.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 200
+    assert only_null.where("v = 2").count() == 1 and only_null.count() == 500

@@ -146,6 +146,31 @@ def test_html(make_msgs):
     assert "4 messages · from Wed, 01 Jan 2025 00:00:00 GMT" in text and text.endswith("</main>")
 
 
+def test_html_spreads_messages_that_name_nobody(spark, make_msgs, no_broadcast):
+    """Most messages are no reply, and most replies name one person; neither falls to one task."""
+    t = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    m = make_msgs(*(
+        dict(author_id=f"U{i % 9}", ts=(t + timedelta(minutes=i)).isoformat(), has_reply=i % 3 == 0,
+             parts=[f"> U1: said {i}", "ok"] if i % 3 == 0 else ["> ok"])
+        for i in range(400)
+    ))
+    spread, plain = (page.body_rows(m, people(m), hot_rows=n) for n in (50, 1000))
+    largest = [x.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] for x in (spread, plain)]
+    assert largest[0] < 130 and largest[1] > 260
+    assert sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect()))
+    assert spread.where("text LIKE '%<cite>name U1</cite> said%'").count() == 134
+
+
+def test_html_names_of_replies(spark, make_msgs):
+    said = ["> U2: a", "> U9: b", "> c d", ">", "> : e"]
+    m = make_msgs(*(dict(author_id="U2", ts=f"2025-01-01T00:0{i}:00Z", parts=[x, "ok"], has_reply=True) for i, x in enumerate(said)))
+    who = people(m).unionByName(spark.createDataFrame([("", "nobody")], "uid string, label string"))
+    for hot_rows in (1, 1000):
+        rows = page.body_rows(m, who, hot_rows=hot_rows).orderBy("k3").collect()
+        quotes = [r["text"].partition("<blockquote>")[2].partition("</blockquote>")[0] for r in rows]
+        assert quotes == ["<cite>name U2</cite> a", "<cite>U9</cite> b", "<cite>nobody</cite> c d", "", "<cite>nobody</cite> : e"]
+
+
 def test_export_folders(make_msgs, tmp_path):
     m = make_msgs(SECRETS)
     for fmt in export.FORMATS:
